@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat
+from plumbline.llm import chat, warc
 
 
 def queries():
-    return {"op1_chat_formatting": chat.op1_chat_formatting}
+    return {"op1_chat_formatting": chat.op1_chat_formatting, "op2_warc": warc.op2_warc}
 
 
 def oracle_sql():
-    return {"op1_chat_formatting": chat.OP1_SQL}
+    return {"op1_chat_formatting": chat.OP1_SQL, "op2_warc": warc.OP2_SQL}
