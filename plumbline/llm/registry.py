@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, warc
+from plumbline.llm import bpe, chat, packing, warc
 
 
 def queries():
-    return {"op1_chat_formatting": chat.op1_chat_formatting, "op2_warc": warc.op2_warc}
+    return {
+        "op1_chat_formatting": chat.op1_chat_formatting,
+        "op2_warc": warc.op2_warc,
+        "op3_packing": packing.op3_packing,
+        "op4_byte_bpe": bpe.op4_byte_bpe,
+    }
 
 
 def oracle_sql():
