@@ -51,7 +51,7 @@ def _byte_alphabet() -> list[str]:
 class WordEncoder:
     """ids of a lower-casing BPE vocabulary with word ends, where white space only separates words.
 
-    Chunks between ASCII white space are independent; inside a chunk the vocabulary's own model encodes each unit.
+    Chunks between spaces are independent; inside a chunk the vocabulary's own model encodes each unit.
     """
 
     def __init__(self, path: str):
@@ -81,7 +81,7 @@ class WordEncoder:
 
     def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for _, block in codec.text_blocks(texts):
-            yield from codec.encode_chunks(self.chunks, pc.ascii_split_whitespace(pc.ascii_lower(block)))
+            yield from codec.encode_chunks(self.chunks, pc.split_pattern(pc.ascii_lower(block), " "))
             self.chunks.forget()
 
 
