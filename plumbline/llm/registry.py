@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, packing, warc
+from plumbline.llm import bpe, chat, fingerprints, html, packing, warc
+from plumbline.llm.common import importable
+
+_QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_warc": warc.op2_warc,
+    "op3_packing": packing.op3_packing,
+    "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_html_extraction": html.op5_html_extraction,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
+}
+
+
+def _ready(query):
+    def run(spark, sf_dir):
+        importable(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries():
-    return {
-        "op1_chat_formatting": chat.op1_chat_formatting,
-        "op2_warc": warc.op2_warc,
-        "op3_packing": packing.op3_packing,
-        "op4_byte_bpe": bpe.op4_byte_bpe,
-    }
+    return {name: _ready(q) for name, q in _QUERIES.items()}
 
 
 def oracle_sql():
