@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, fingerprints, html, packing, warc
+from plumbline.llm import bpe, chat, fingerprints, html, packing, topk, warc
 from plumbline.llm.common import importable
 
 _QUERIES = {
@@ -12,6 +12,7 @@ _QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op5_html_extraction": html.op5_html_extraction,
     "op6_fingerprints": fingerprints.op6_fingerprints,
+    "op7_exact_topk": topk.op7_exact_topk,
 }
 
 
@@ -28,4 +29,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_chat_formatting": chat.OP1_SQL, "op2_warc": warc.OP2_SQL}
+    return {"op1_chat_formatting": chat.OP1_SQL, "op2_warc": warc.OP2_SQL, "op7_exact_topk": topk.OP7_SQL}
