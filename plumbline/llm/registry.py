@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, fingerprints, html, packing, topk, warc
+from plumbline.llm import bpe, chat, fingerprints, html, packing, quality, secrets, topk, warc
 from plumbline.llm.common import importable
 
 _QUERIES = {
@@ -13,6 +13,8 @@ _QUERIES = {
     "op5_html_extraction": html.op5_html_extraction,
     "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_exact_topk": topk.op7_exact_topk,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_secret_scans": secrets.op9_secret_scans,
 }
 
 
