@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, fingerprints, html, packing, quality, secrets, topk, warc
+from plumbline.llm import bpe, chat, fingerprints, html, jaccard, packing, quality, secrets, topk, warc
 from plumbline.llm.common import importable
 
 _QUERIES = {
@@ -15,6 +15,7 @@ _QUERIES = {
     "op7_exact_topk": topk.op7_exact_topk,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_secret_scans": secrets.op9_secret_scans,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 
 
@@ -31,4 +32,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_chat_formatting": chat.OP1_SQL, "op2_warc": warc.OP2_SQL, "op7_exact_topk": topk.OP7_SQL}
+    return {"op1_chat_formatting": chat.OP1_SQL, "op2_warc": warc.OP2_SQL, "op7_exact_topk": topk.OP7_SQL, "op10_ngram_jaccard": jaccard.OP10_SQL}
