@@ -27,8 +27,14 @@ def _ready(query):
     return run
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {name: _ready(q) for name, q in _QUERIES.items()}
+    return {name: _ready(q) for name, q in {**_QUERIES, "pipeline": pipeline}.items()}
 
 
 def oracle_sql():
