@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from plumbline.catalog import learning, mining, preparation, profiles  # noqa: F401  they register their queries
+from plumbline.catalog.registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
