@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -281,7 +280,6 @@ class Encoder:
             self.chunks.forget()
 
 
-@lru_cache(2)
 def _coder(path: str, pattern: str, split: bytes) -> tuple[Encoder, Decoder]:
     ranks = load_ranks(path)
     return Encoder(ranks, np.frombuffer(split, np.int32).reshape(-1, 2), pattern), Decoder(ranks)
@@ -297,7 +295,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
     schema = f"`{key}` {kind}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = _coder(path, pattern, split)
+        encoder, decoder = codec.only((path, pattern), lambda: _coder(path, pattern, split))
         for b in batches:
             rows = []
             for ids in encoder.batch(b.column(1)):

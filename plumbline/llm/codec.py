@@ -13,8 +13,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-LIMIT = 600_000
-BATCH_CHARS = 8 << 20
+LIMIT = 400_000
+BATCH_CHARS = 4 << 20
+
+_held: dict = {}
+
+
+def only(key, make: Callable):
+    """The object of ``key``, kept for the next task of this worker; a worker keeps one, whatever operators it serves."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drops what the worker keeps, for operators that keep nothing."""
+    _held.clear()
 
 
 class ChunkTable:
@@ -68,6 +83,7 @@ def text_blocks(texts: pa.Array, most: int = BATCH_CHARS) -> Iterator[tuple[int,
         to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
         yield at, texts.take(pa.array(np.arange(at, to)))  # a copy: some kernels go wrong on slices of large strings
         at = to
+        pa.default_memory_pool().release_unused()
 
 
 def encode_chunks(table: ChunkTable, lists: pa.Array) -> list[np.ndarray]:

@@ -36,11 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.codec import text_blocks
+from plumbline.llm.codec import release, text_blocks
 from plumbline.llm.common import table, written
 from plumbline.llm.components import components
 
-WINDOW_SIGNATURES = 4_000_000
+WINDOW_SIGNATURES = 1_000_000
+KNOWN_SETS = 200_000
 BLOCK_SETS = 1_024
 BROADCAST_ROWS = 1_000_000
 PIVOT_ROUNDS = 2
@@ -137,6 +138,7 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             n, d = [], []
             for s in shingle_sets(b.column(1), words):
@@ -156,6 +158,7 @@ def _signed(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """``part, links, entries``: links made inside a task (pairs of nodes), and signatures with a node of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         signer, known = Signer(percent), set()
         signatures: list[np.ndarray] = []
         nodes: list[int] = []
@@ -196,7 +199,7 @@ def _signed(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
                 d = digest(s)
                 if d in known:
                     continue
-                if len(known) < 1_000_000:
+                if len(known) < KNOWN_SETS:
                     known.add(d)
                 own = signer.sign(s)
                 for x in own:
@@ -217,6 +220,7 @@ def _candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         links, signatures, nodes = [], [], []
         for b in batches:
             for link, sig, names, index in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):

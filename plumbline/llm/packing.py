@@ -85,11 +85,6 @@ class WordEncoder:
             self.chunks.forget()
 
 
-@lru_cache(2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def cost(n: float) -> float:
     return LINEAR * n + QUADRATIC * n * n
 
@@ -187,7 +182,7 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", size: int =
     names = [key, *(c.split()[0] for c in PIECES.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(path)
+        encoder = codec.only(path, lambda: WordEncoder(path))
         packer = Packer(TaskContext.get().partitionId() << 40, size, window)
         arrow_kind = None
 

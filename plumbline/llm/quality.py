@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.codec import text_blocks
+from plumbline.llm.codec import release, text_blocks
 from plumbline.llm.common import table
 
 MAX_TRAIN = 4_000
@@ -52,7 +52,8 @@ def shape(word: str) -> str:
 class Features:
     """Sorted distinct places of each text of an Arrow array."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
+        release()
         self.shapes: dict[str, int] = {}
         self.limit = limit
         self.seen = np.zeros(DIMENSIONS, bool)
