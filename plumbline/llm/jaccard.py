@@ -1,11 +1,13 @@
 """Exact Jaccard join of word-shingle sets by PartEnum signatures.
 
 Sets of n distinct shingles are put into bands of similar size. Two sets whose Jaccard similarity is at least t
-differ in at most k = floor(n (1 - t) / t) elements, n being the smaller size; so if the domain of shingle hashes is
-cut into k + m parts, they agree in m parts at least. A set's signatures are the hashes of what it has in each part, or,
-for small k, in each pair of k + 2 parts (the enumerated subsets). A set also signs for the band below if a partner may lie there.
-Parts where a set has nothing count as signatures only for sets with m such parts or more; other
-pairs agree in a part that holds something. So sets that are similar enough share a signature.
+differ in at most k = floor(n (1 - t) / t) elements, n being the smaller size. The domain of shingle hashes is cut into
+parts, more than k differences can spoil: either k + 1 + m parts, of which 1 + m agree, or k / 2 + 1 + m parts of
+which 1 + m hold one difference at most, each cut into inner parts of which all but one then agree. A set's signatures
+are the hashes of what it has in each part, or in each choice of all inner parts but one (the enumerated subsets);
+for small k in each pair of k + 2 parts. A set also signs for the band below if a partner may lie there. A signature
+of fewer than two elements (or of none) counts only for sets with more than m parts that have such; other pairs agree
+in a part that holds more. So sets that are similar enough share a signature, and a common passage alone seldom makes one.
 
 1. One pass gives size and 128-bit digest of each document's set; equal sets are one class from then on.
 2. A second pass signs. A task keeps one document of each set and one of each signature (the others are linked to it at
@@ -25,6 +27,7 @@ are ignored; texts are read whole. Shingles are told apart by 64-bit hashes, set
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -45,8 +48,13 @@ KNOWN_SETS = 200_000
 BLOCK_SETS = 1_024
 BROADCAST_ROWS = 1_000_000
 PIVOT_ROUNDS = 2
-BAND_GROWTH = 1.5
 PAIRS_UP_TO = 4
+#: A band signs by single parts if a part then holds this many elements on average or k is above INNER_UP_TO (where
+#: more signatures would cost too much), else by INNER_PARTS - 1 of INNER_PARTS inner parts; a signature stands for
+#: LEAST_HELD elements at least, where the spare parts allow it.
+FULL_PARTS, INNER_UP_TO, INNER_PARTS, LEAST_HELD = 5, 30, 4, 2
+#: Blocks of a large group hold sets of one size class (sizes up to this ratio), about so many elements each.
+CLASS_RATIO, BLOCK_ELEMENTS = 1.12, 1 << 20
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -98,6 +106,7 @@ class Signer:
         self.percent = percent
         self.first = -(-percent // (100 - percent))  # smaller sets are similar only to equal ones
         self.lower = [self.first]
+        self.growth = 1.5 if percent > 85 else 1.25  # wider bands cost more signatures where sets may differ more
 
     def differ(self, n: int) -> int:
         """How many elements at most are in one of two similar sets only, n being the smaller size."""
@@ -105,7 +114,7 @@ class Signer:
 
     def _band(self, n: int) -> int:
         while self.lower[-1] <= n:
-            self.lower.append(max(self.lower[-1] + 1, int(self.lower[-1] * BAND_GROWTH)))
+            self.lower.append(max(self.lower[-1] + 1, int(self.lower[-1] * self.growth)))
         return int(np.searchsorted(self.lower, n, "right")) - 1
 
     def sign(self, s: np.ndarray) -> list[np.ndarray]:
@@ -120,18 +129,33 @@ class Signer:
         return [self._family(s, sums, f) for f in bands]
 
     def _family(self, s: np.ndarray, sums: np.ndarray, band: int) -> np.ndarray:
-        k = self.differ(self.lower[band + 1] - 1)
-        pairs = k <= PAIRS_UP_TO
-        spare = 2 if pairs else 2 + k // 8
-        parts = k + spare
+        lowest, k = self.lower[band], self.differ(self.lower[band + 1] - 1)
+        if k <= PAIRS_UP_TO:
+            tag, _ = self._tags(s, sums, band, k + 2)
+            a, b = np.array(list(combinations(range(k + 2), 2))).T
+            return _mix(tag[a] * _M2 + tag[b])
+        one = lowest >= FULL_PARTS * k or k > INNER_UP_TO
+        inner = 1 if one else INNER_PARTS
+        good = k // (1 if one else 2)
+        spare = 2 + good // (8 if lowest >= FULL_PARTS * k else 3 if one else 4)
+        outer = good + 1 + spare
+        tag, held = self._tags(s, sums, band, outer * inner)
+        tag, held = tag.reshape(outer, inner), held.reshape(outer, inner)
+        if not one:  # each part but one of the inner parts, for each of them
+            tag = _mix(tag.sum(1, keepdims=True) - tag + np.arange(outer * inner, dtype=np.uint64).reshape(outer, inner) * _M2)
+            held = held.sum(1, keepdims=True) - held
+        for least in range(LEAST_HELD, 0, -1):
+            enough = held >= least
+            if int((~enough.all(1)).sum()) <= spare:
+                return tag[enough]
+        return tag.ravel()
+
+    def _tags(self, s: np.ndarray, sums: np.ndarray, band: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and number of elements of each part of the domain."""
         at = np.searchsorted(s, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64))
         at = np.concatenate([[0], at, [len(s)]])
-        held, filled = sums[at[1:]] - sums[at[:-1]], np.diff(at) > 0
-        tag = _mix(held + _U(0x9E3779B97F4A7C15) * (np.arange(parts, dtype=np.uint64) + _U(1 + 4096 * (band + 1))))
-        if pairs:
-            a, b = np.array(list(combinations(range(parts), 2))).T
-            return _mix(tag[a] * _M2 + tag[b])
-        return tag[filled] if parts - int(filled.sum()) < spare else tag
+        number = np.arange(parts, dtype=np.uint64) + (_U(band + 1) << _U(32))
+        return _mix(sums[at[1:]] - sums[at[:-1]] + _U(0x9E3779B97F4A7C15) * number), np.diff(at)
 
 
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
@@ -318,22 +342,30 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         joined = components(found)
         labels = written(sets.select("digest").join(joined, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("label", "digest").alias("label")), "set-labels")
 
-    # Blocks: sets of one component stand together, so that pairs of blocks inside one component are never dealt.
+    # A small group is one block. In a large one a block holds sets of one size class, either of the largest component
+    # (core) or of the others, so that neither sizes too far apart nor two blocks of the core are ever dealt together.
     named = sets.join(labels, "digest") if any_large else sets.withColumn("label", F.col("digest"))
-    # What stays apart is compared in blocks: those of a large group by component and hash, each a bounded share.
-    counts = named.groupBy("grp", "label").count().groupBy("grp").agg(F.sum("count").alias("n"), F.max(F.struct("count", "label")).alias("most"))
-    b = named.join(counts, "grp").withColumn("core", (F.col("label") == F.col("most.label")) & (F.col("n") > BLOCK_SETS))
-    share = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_SETS)).cast("int")
-    n_core, n_rest = share(F.col("most.count")), share(F.col("n") - F.col("most.count"))
-    n_core = F.when(F.col("n") > BLOCK_SETS, n_core).otherwise(0)
-    n_rest = F.when(F.col("n") > BLOCK_SETS, n_rest).otherwise(1)
-    h = F.xxhash64("digest")
-    b = b.withColumns({"n_core": n_core, "n_rest": n_rest}).withColumn("block", F.when(F.col("core"), F.pmod(h, F.col("n_core"))).otherwise(F.col("n_core") + F.pmod(h, F.col("n_rest"))).cast("int"))
-    # A core block meets every other block, another block meets all blocks: pairs (lower, upper), upper not a core block.
-    uppers = F.sequence(F.greatest("n_core", "block"), F.col("n_core") + F.col("n_rest") - 1)
-    lowers = F.when(F.col("core"), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), "block"))
-    pairs = F.array_distinct(F.concat(F.transform(uppers, lambda u: F.struct(F.col("block").alias("lo"), u.alias("hi"))), F.transform(lowers, lambda x: F.struct(x.alias("lo"), F.col("block").alias("hi")))))
-    dealt = b.select("grp", "digest", "label", "shingles", "block", F.explode(pairs).alias("pair")).select("grp", "pair.lo", "pair.hi", (F.col("block") == F.col("pair.lo")).alias("low"), "digest", "label", "shingles")
+    n = F.octet_length("shingles") / 8
+    counts = named.groupBy("grp", "label").count().groupBy("grp").agg(F.sum("count").alias("size"), F.max(F.struct("count", "label")).alias("most"))
+    large_one = F.col("size") > BLOCK_SETS
+    b = named.join(counts, "grp").select(
+        "grp", "digest", "label", "shingles",
+        (large_one & (F.col("label") == F.col("most.label"))).alias("core"),
+        F.when(large_one, F.floor(F.log(n) / math.log(CLASS_RATIO))).otherwise(0).cast("int").alias("class"),
+    )
+    per = b.groupBy("grp", "core", "class").agg(F.sum(n).alias("elements"), F.count("*").alias("sets"))
+    subs = F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("sets") / (4 * BLOCK_SETS)), F.lit(1)).cast("int")
+    per = written(per.groupBy("grp").agg(F.collect_list(F.struct("core", "class", subs.alias("subs"))).alias("blocks")), "blocks")
+    near = math.ceil(math.log(100 / percent) / math.log(CLASS_RATIO))
+    b = b.join(per, "grp")
+    own = F.element_at(F.filter("blocks", lambda x: (x["core"] == F.col("core")) & (x["class"] == F.col("class"))), 1)["subs"]
+    b = b.withColumn("block", F.struct("core", "class", F.pmod(F.xxhash64("digest"), own).cast("int").alias("sub")))
+    meets = F.filter("blocks", lambda x: (F.abs(x["class"] - F.col("class")) <= near) & ~(x["core"] & F.col("core")))
+    others = F.flatten(F.transform(meets, lambda x: F.transform(F.sequence(F.lit(0), x["subs"] - 1), lambda i: F.struct(x["core"].alias("core"), x["class"].alias("class"), i.alias("sub")))))
+    dealt = b.select("grp", "digest", "label", "shingles", "block", F.explode(others).alias("other"))
+    dealt = dealt.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("low"), "digest", "label", "shingles")
+    name = lambda c: F.concat_ws("/", F.col(c)["core"].cast("string"), F.col(c)["class"].cast("string"), F.col(c)["sub"].cast("string"))
+    dealt = dealt.withColumns({"lo": name("lo"), "hi": name("hi")})
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         lo = pdf[pdf["low"]]
@@ -372,7 +404,9 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = written(sets.join(chosen.select("digest", "grp", "weight"), "digest"), "sets")
     linked = components(_links(sets, percent)).select(F.col("node").alias("digest"), "label")
     keyed = rows.join(linked, "digest", "left").withColumn("key", F.coalesce("label", "digest"))
-    least = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below deals its two sides anew and a key with very many documents can be split.
+    least = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    least = written(least.select("key", "component_id"), "components")
     return keyed.join(least, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
