@@ -21,8 +21,9 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality classifier rejects."""
     model = quality.train(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    scored = quality.score_documents(docs.select(*docs.columns), model)
-    return scored.where("predicted = 1").select(*docs.columns)
+    own = "_" * max(map(len, docs.columns))  # longer than the columns that are there, so that none is replaced
+    scored = quality.score_documents(docs, model, f"{own}score", f"{own}predicted")
+    return scored.where(F.col(f"{own}predicted") == 1).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-LIMIT = 400_000
+LIMIT = 150_000
 BATCH_CHARS = 4 << 20
 
 _held: dict = {}

@@ -14,6 +14,7 @@ in a part that holds more. So sets that are similar enough share a signature, an
    once), so a signature reaches the shuffle once a task, however many documents have it. What meets there gives
    candidate links, a star for each signature.
 3. Components of candidate links are the groups inside which similar sets can lie. Their sets are made once more.
+   Large groups are first cut into what parity sketches (a lower bound on the difference) leave possible.
    A few pivots per large group link most of a dense group directly; what is still apart is compared in blocks,
    pairs inside one component being left out. Parity sketches (a lower bound on the difference) spare most
    exact comparisons; every link comes from an exact one.
@@ -55,6 +56,7 @@ PAIRS_UP_TO = 4
 FULL_PARTS, INNER_UP_TO, INNER_PARTS, LEAST_HELD = 5, 30, 4, 2
 #: Blocks of a large group hold sets of one size class (sizes up to this ratio), about so many elements each.
 CLASS_RATIO, BLOCK_ELEMENTS = 1.12, 1 << 20
+SKETCH_BITS = 2_048
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -318,6 +320,98 @@ def link_blocks(left: list[np.ndarray], right: list[np.ndarray] | None, labels:
     return out
 
 
+def _dealt(named: DataFrame, percent: int, payload: str) -> DataFrame:
+    """``grp, lo, hi, low, digest, label, n, <payload>``: rows of ``grp, digest, label, n, <payload>`` for each pair of blocks to compare.
+
+    A small group is one block. In a large one a block holds sets of one size class, either of the largest component
+    (core) or of the others, so that neither sizes too far apart nor two blocks of the core are ever dealt together.
+    """
+    counts = named.groupBy("grp", "label").count().groupBy("grp").agg(F.sum("count").alias("size"), F.max(F.struct("count", "label")).alias("most"))
+    large_one = F.col("size") > BLOCK_SETS
+    b = named.join(counts, "grp").select(
+        "grp", "digest", "label", "n", payload,
+        (large_one & (F.col("label") == F.col("most.label")) & (F.col("most.count") > 1)).alias("core"),
+        F.when(large_one, F.floor(F.log("n") / math.log(CLASS_RATIO))).otherwise(0).cast("int").alias("class"),
+    )
+    per = b.groupBy("grp", "core", "class").agg(F.sum("n").alias("elements"), F.count("*").alias("sets"))
+    subs = F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("sets") / (4 * BLOCK_SETS)), F.lit(1)).cast("int")
+    per = written(per.groupBy("grp").agg(F.collect_list(F.struct("core", "class", subs.alias("subs"))).alias("blocks")), "blocks")
+    near = math.ceil(math.log(100 / percent) / math.log(CLASS_RATIO))
+    b = b.join(per, "grp")
+    own = F.element_at(F.filter("blocks", lambda x: (x["core"] == F.col("core")) & (x["class"] == F.col("class"))), 1)["subs"]
+    b = b.withColumn("block", F.struct("core", "class", F.pmod(F.xxhash64("digest"), own).cast("int").alias("sub")))
+    meets = F.filter("blocks", lambda x: (F.abs(x["class"] - F.col("class")) <= near) & ~(x["core"] & F.col("core")))
+    others = F.flatten(F.transform(meets, lambda x: F.transform(F.sequence(F.lit(0), x["subs"] - 1), lambda i: F.struct(x["core"].alias("core"), x["class"].alias("class"), i.alias("sub")))))
+    dealt = b.select("grp", "digest", "label", "n", payload, "block", F.explode(others).alias("other"))
+    dealt = dealt.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("low"), "digest", "label", "n", payload)
+    name = lambda c: F.concat_ws("/", F.col(c)["core"].cast("string"), F.col(c)["class"].cast("string"), F.col(c)["sub"].cast("string"))
+    return dealt.withColumns({"lo": name("lo"), "hi": name("hi")})
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Sketch of a set in SKETCH_BITS places: the parity of its elements in each."""
+    places = ((s * _M2) >> _U(40)).astype(np.int64) & (SKETCH_BITS - 1)
+    return np.packbits((np.bincount(places, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def join_by_sketch(marks: np.ndarray, n: np.ndarray, left: int, alone: bool, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (left with right, or all if ``alone``) that sketches and sizes leave possible."""
+    parent = list(range(len(n)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i in range(left):
+        at = i + 1 if alone else left
+        small, large = np.minimum(n[at:], n[i]), np.maximum(n[at:], n[i])
+        to = at + np.flatnonzero(small * 100 >= percent * large)
+        if not len(to):
+            continue
+        apart = np.bitwise_count(marks[to] ^ marks[i]).sum(1, dtype=np.int64)
+        for j in to[apart * percent <= np.minimum(n[to], n[i]) * (100 - percent)].tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((i, j))
+    return out
+
+
+def _refined(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` with large groups cut into the components that sketches leave possible.
+
+    Large groups hold mostly sets that have only a signature by chance in common. Sketches are a sixteenth of the
+    sets or less, so it is they that are dealt in blocks; what comes apart needs no exact comparison.
+    """
+    large = written(sets.groupBy("grp").count().where(F.col("count") > BLOCK_SETS).select("grp"), "large-groups")
+    if large.isEmpty():
+        return sets
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks = [parity(np.frombuffer(x.as_buffer(), np.uint64)) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.binary_length(b.column(2)).cast(pa.int64()), pa.array(marks, pa.binary())], ["grp", "digest", "bytes", "mark"])
+
+    marks = sets.join(large, "grp").select("grp", "digest", "shingles").mapInArrow(sketch, "grp long, digest binary, bytes long, mark binary")
+    dealt = _dealt(marks.select("grp", "digest", F.col("digest").alias("label"), (F.col("bytes") / 8).cast("long").alias("n"), "mark"), percent, "mark")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pd.concat([pdf[pdf["low"]], pdf[~pdf["low"]]])
+        all_marks = np.frombuffer(b"".join(pdf["mark"]), np.uint64).reshape(len(pdf), -1)
+        rows = join_by_sketch(all_marks, pdf["n"].to_numpy(), int(pdf["low"].sum()), pdf["lo"].iloc[0] == pdf["hi"].iloc[0], percent)
+        names = pdf["digest"].to_list()
+        return pd.DataFrame({"a": [names[i] for i, _ in rows], "b": [names[j] for _, j in rows]}, columns=["a", "b"])
+
+    found = components(written(dealt.groupBy("grp", "lo", "hi").applyInPandas(compare, "a binary, b binary"), "sketch-links"))
+    again = sets.join(found.select(F.col("node").alias("digest"), "label"), "digest", "left").join(large.withColumn("is_large", F.lit(True)), "grp", "left")
+    # What stands alone in a large group has no partner; its new group is its own.
+    name = F.when(F.col("is_large"), F.xxhash64("grp", F.coalesce("label", "digest"))).otherwise(F.col("grp"))
+    return written(again.where("is_large IS NULL OR label IS NOT NULL").select("digest", name.alias("grp"), "weight", "shingles"), "refined-sets")
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Links ``a, b`` (digests) between similar sets of ``grp, digest, weight, shingles`` that make up their components."""
     found = None
@@ -342,30 +436,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         joined = components(found)
         labels = written(sets.select("digest").join(joined, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("label", "digest").alias("label")), "set-labels")
 
-    # A small group is one block. In a large one a block holds sets of one size class, either of the largest component
-    # (core) or of the others, so that neither sizes too far apart nor two blocks of the core are ever dealt together.
     named = sets.join(labels, "digest") if any_large else sets.withColumn("label", F.col("digest"))
-    n = F.octet_length("shingles") / 8
-    counts = named.groupBy("grp", "label").count().groupBy("grp").agg(F.sum("count").alias("size"), F.max(F.struct("count", "label")).alias("most"))
-    large_one = F.col("size") > BLOCK_SETS
-    b = named.join(counts, "grp").select(
-        "grp", "digest", "label", "shingles",
-        (large_one & (F.col("label") == F.col("most.label"))).alias("core"),
-        F.when(large_one, F.floor(F.log(n) / math.log(CLASS_RATIO))).otherwise(0).cast("int").alias("class"),
-    )
-    per = b.groupBy("grp", "core", "class").agg(F.sum(n).alias("elements"), F.count("*").alias("sets"))
-    subs = F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("sets") / (4 * BLOCK_SETS)), F.lit(1)).cast("int")
-    per = written(per.groupBy("grp").agg(F.collect_list(F.struct("core", "class", subs.alias("subs"))).alias("blocks")), "blocks")
-    near = math.ceil(math.log(100 / percent) / math.log(CLASS_RATIO))
-    b = b.join(per, "grp")
-    own = F.element_at(F.filter("blocks", lambda x: (x["core"] == F.col("core")) & (x["class"] == F.col("class"))), 1)["subs"]
-    b = b.withColumn("block", F.struct("core", "class", F.pmod(F.xxhash64("digest"), own).cast("int").alias("sub")))
-    meets = F.filter("blocks", lambda x: (F.abs(x["class"] - F.col("class")) <= near) & ~(x["core"] & F.col("core")))
-    others = F.flatten(F.transform(meets, lambda x: F.transform(F.sequence(F.lit(0), x["subs"] - 1), lambda i: F.struct(x["core"].alias("core"), x["class"].alias("class"), i.alias("sub")))))
-    dealt = b.select("grp", "digest", "label", "shingles", "block", F.explode(others).alias("other"))
-    dealt = dealt.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("low"), "digest", "label", "shingles")
-    name = lambda c: F.concat_ws("/", F.col(c)["core"].cast("string"), F.col(c)["class"].cast("string"), F.col(c)["sub"].cast("string"))
-    dealt = dealt.withColumns({"lo": name("lo"), "hi": name("hi")})
+    dealt = _dealt(named.withColumn("n", (F.octet_length("shingles") / 8).cast("long")), percent, "shingles")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         lo = pdf[pdf["low"]]
@@ -402,7 +474,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     sets = texts.select("text").mapInArrow(run, "digest binary, shingles binary").groupBy("digest").agg(F.min("shingles").alias("shingles"))
     sets = written(sets.join(chosen.select("digest", "grp", "weight"), "digest"), "sets")
-    linked = components(_links(sets, percent)).select(F.col("node").alias("digest"), "label")
+    linked = components(_links(_refined(sets, percent), percent)).select(F.col("node").alias("digest"), "label")
     keyed = rows.join(linked, "digest", "left").withColumn("key", F.coalesce("label", "digest"))
     # Written, so that the join below deals its two sides anew and a key with very many documents can be split.
     least = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1")

@@ -166,9 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     return fit([np.frombuffer(once[d][0], "<u4").astype(np.int64) for d in order], [int(once[d][1] > 0) for d in order])
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted`` in place of columns of these names."""
-    docs = docs.drop("score", "predicted")
+def score_documents(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with a score and a prediction, in place of columns of these names."""
+    docs = docs.drop(score, predicted)
     names = docs.columns
     at = names.index("text")
 
@@ -176,9 +176,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         made = Features()
         for b in batches:
             scores = [model.score(x) for x in made.batch(b.column(at))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*names, score, predicted])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(predicted, T.IntegerType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -294,7 +294,7 @@ def test_queries_like_sql(spark, name):
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("component_id", F.lit("mine"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns({"component_id": F.lit("mine"), "score": F.lit("mine"), "predicted": F.lit(7)})
     extra = docs.where("doc_id < 3")
     now = docs.unionByName(extra)
     for name, stage in cp.STAGES[:-1]:
@@ -307,6 +307,7 @@ def test_pipeline_stages(spark, tmp_path):
     rows = sorted({(r["doc_id"], r["text"]) for r in kept})
     want = sorted(d for d, _, c in brute_classes(rows, 5, 80) if d == c)
     assert sorted(r["doc_id"] for r in spark.read.parquet(f"{tmp_path}/n-gram Jaccard join").select("doc_id").collect()) == want
+    assert now.where("score <> 'mine' OR predicted <> 7").count() == 0
     assert now.where("text rlike 'AKIA[A-Z0-9]{12}'").count() == 0
     packed = cp.STAGES[-1][1](spark, now, DATA)
     assert packed.select("doc_id").distinct().count() == len(want)
