@@ -116,11 +116,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumns({"bucket": bucket, "tie": tie, "tail": F.lit(0)})
     if not firsts:
         return keyed.select("bucket", "tail", "doc_id", "text")
-    where = F.array(F.struct(F.col("bucket"), F.lit(0).alias("tail")))
+    # One map of literals, looked up by range: the place of its first row, and the range that ends with a copy of it.
+    entries = []
     for r, before in zip(firsts, [firsts[-1], *firsts[:-1]], strict=True):
         none, down, t = r["first"]
-        own = (F.col("bucket") == r["bucket"]) & (F.col("doc_id").isNull() if none else F.bitwise_not(F.col("doc_id")) == F.lit(down)) & (F.col("tie") == t)
-        where = F.when(own, F.array(F.struct(F.col("bucket"), F.lit(0).alias("tail")), F.struct(F.lit(before["bucket"]).alias("bucket"), F.lit(1).alias("tail")))).otherwise(where)
+        entries += [F.lit(r["bucket"]), F.struct(F.lit(none).alias("none"), F.lit(down).cast("long").alias("down"), F.lit(t).alias("tie"), F.lit(before["bucket"]).alias("before"))]
+    keyed = keyed.withColumn("first", F.try_element_at(F.create_map(*entries), F.col("bucket")))
+    down = F.bitwise_not(F.col("doc_id"))
+    own = (F.col("doc_id").isNull() == F.col("first.none")) & down.eqNullSafe(F.col("first.down")) & (F.col("tie") == F.col("first.tie"))
+    here = F.struct(F.col("bucket"), F.lit(0).alias("tail"))
+    where = F.when(own, F.array(here, F.struct(F.col("first.before").alias("bucket"), F.lit(1).alias("tail")))).otherwise(F.array(here))
     return (
         keyed.select(F.explode(where).alias("w"), "doc_id", "text", "tie")
         .select("w.bucket", "w.tail", "doc_id", "text", "tie")
