@@ -16,7 +16,7 @@ from pyspark.ml import classification as mlc
 from pyspark.ml import clustering as mlk
 from pyspark.ml import regression as mlr
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.columns import col, numeric
@@ -487,7 +487,10 @@ class _Neighbours(Model):
     def _near(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         q = df.withColumn("_id", F.monotonically_increasing_id()).persist()
         ids = q.select(F.col("_id").alias("id"), vector_to_array("features").alias("v"))
-        return q, neighbours.nearest(self._need(), ids, self.n_neighbors, "id", "v", self.metric, "label")
+        # ties go by id: of rows at one point, only the first n_neighbors can be among a query's nearest
+        w = Window.partitionBy("v").orderBy("id")
+        rows = self._need().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= self.n_neighbors).drop("_n")
+        return q, neighbours.nearest(rows, ids, self.n_neighbors, "id", "v", self.metric, "label")
 
     def predict(self, df: DataFrame) -> DataFrame:
         q, near = self._near(df)
