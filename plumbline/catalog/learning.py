@@ -121,8 +121,13 @@ def nearest_center(spark, d):
 _DB = "e AS (SELECT event_id AS id, value AS x, CAST(hour(ts) AS DOUBLE) AS y FROM events WHERE user_id <= 20), n AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2.0)"
 
 
+def _all_grid(spark, d):
+    return table(spark, d, "events").select("event_id", F.col("value").alias("x"), F.hour("ts").cast("double").alias("y"), "user_id")
+
+
 def _grid(spark, d):
-    return table(spark, d, "events").where("user_id <= 20").select("event_id", F.col("value").alias("x"), F.hour("ts").cast("double").alias("y"))
+    """The events that the SQL names; the queries ending in _all take every event."""
+    return _all_grid(spark, d).where("user_id <= 20")
 
 
 @query(f"WITH {_DB} SELECT a, b FROM n")
@@ -143,6 +148,21 @@ def dbscan_labels(spark, d):
     return N.dbscan(_grid(spark, d), "event_id", ["x", "y"], 2.0, 4)
 
 
+@query()
+def range_join_all(spark, d):
+    return N.within(_all_grid(spark, d), "event_id", ["x", "y"], 2.0)
+
+
+@query()
+def dbscan_core_all(spark, d):
+    return N.dbscan(_all_grid(spark, d), "event_id", ["x", "y"], 2.0, 4).where("is_core").select("id")
+
+
+@query()
+def dbscan_labels_all(spark, d):
+    return N.dbscan(_all_grid(spark, d), "event_id", ["x", "y"], 2.0, 4)
+
+
 @query("""WITH e AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v, label AS l FROM embeddings WHERE vec_id < 300), p AS (SELECT a.i, a.l AS la, b.l AS lb, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM e a, e b GROUP BY 1, 2, 3),
 c AS (SELECT i, max(s / (n - 1)) FILTER (WHERE la = lb AND n > 1) AS a, min(s / n) FILTER (WHERE la <> lb) AS b FROM p GROUP BY i) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM c""")
 def silhouette(spark, d):

@@ -1,9 +1,11 @@
 """Queries and operators use every row of their tables."""
 
 import random
+from datetime import datetime
 
 import pytest
 
+import __spark_entry__ as entry
 from plumbline.catalog import learning
 from plumbline.operators import models
 
@@ -27,3 +29,25 @@ def test_neighbours_at_equal_points(spark, k):
     for x in m.predict(df.select("a", "b", "features").distinct()).collect():
         near = sorted(rows, key=lambda p: ((p[0] - x["a"]) ** 2 + (p[1] - x["b"]) ** 2, ids[p[2]]))[:k]
         assert x["prediction"] == pytest.approx(sum(p[2] for p in near) / k)
+
+
+def test_density_queries_take_all_events(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(i, datetime(2024, 1, 1, r.randrange(24)), i % 60, r.uniform(0, 60)) for i in range(200)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    near = {i: {j for j, u, _, w in rows if (v - w) ** 2 + (t.hour - u.hour) ** 2 <= 4} for i, t, _, v in rows}
+    core = {i for i in near if len(near[i]) >= 4}
+    root: dict[int, int] = {}
+    for i in sorted(core):
+        todo = [] if i in root else [i]
+        while todo:
+            j = todo.pop()
+            if j not in root:
+                root[j] = i
+                todo += near[j] & core
+    number = {v: n for n, v in enumerate(sorted(set(root.values())))}
+    want = {i: (i in core, number[root[i]] if i in core else min((number[root[j]] for j in near[i] & core), default=-1)) for i in near}
+    known = entry.queries()
+    assert {tuple(x) for x in known["range_join_all"](spark, str(tmp_path)).collect()} == {(i, j) for i in near for j in near[i]}
+    assert {x[0] for x in known["dbscan_core_all"](spark, str(tmp_path)).collect()} == core
+    assert {x["id"]: (x["is_core"], x["cluster"]) for x in known["dbscan_labels_all"](spark, str(tmp_path)).collect()} == want
