@@ -169,6 +169,12 @@ def silhouette(spark, d):
     return rounded(M.silhouette(table(spark, d, "embeddings").where("vec_id < 300"), "vec_id", "embedding", "label"))
 
 
+@query()
+def silhouette_all(spark, d):
+    """The SQL of ``silhouette`` has vec_id < 300; this is the whole table's."""
+    return rounded(M.silhouette(table(spark, d, "embeddings"), "vec_id", "embedding", "label"))
+
+
 @query()
 def kmeans_fit(spark, d):
     rows = models.assemble(table(spark, d, "events").select("value", F.hour("ts").alias("h")))

@@ -47,18 +47,24 @@ def inertia(df: DataFrame, point: str, center: str) -> Column:
     return F.sum(d * d)
 
 
-def silhouette(df: DataFrame, key: str, point: str, label: str, most_rows: int = 5_000) -> DataFrame:
+#: Rows of a block of the silhouette, and the most partitions that its pairs of blocks are dealt over.
+BLOCK_ROWS, MOST_PARTITIONS = 500, 2_000
+
+
+def silhouette(df: DataFrame, key: str, point: str, label: str) -> DataFrame:
     """``silhouette`` of Euclidean distances over all pairs; -1 with fewer than two labels.
 
-    All pairs are a quadratic cost, so larger inputs are refused: take a sample, or the centre-based form of the ML
-    library's ClusteringEvaluator.
+    All pairs are a quadratic cost. Each row meets every block of ``BLOCK_ROWS`` rows once, and what leaves a pair of
+    blocks are sums by row and label.
     """
     rows = df.select(F.col(key).alias("k"), F.col(point).alias("v"), F.col(label).alias("l"))
-    n = rows.count()
-    if n > most_rows:
-        raise ValueError(f"{n} rows are too many for all pairs; sample to {most_rows}")
-    a, b = rows.select(F.col("k").alias("ka"), F.col("v").alias("va"), F.col("l").alias("la")), rows
-    per = a.join(F.broadcast(b), F.lit(True)).groupBy("ka", "la", "l").agg(F.sum(distance(F.col("va"), F.col("v"))).alias("s"), F.count("*").alias("n"))
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    own_block = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    n = min(blocks * blocks, MOST_PARTITIONS)
+    a = rows.select(F.col("k").alias("ka"), F.col("v").alias("va"), F.col("l").alias("la"), own_block.alias("i"), every.alias("j")).repartition(n, "i", "j")
+    b = rows.select("v", "l", own_block.alias("j"), every.alias("i")).repartition(n, "i", "j")
+    per = a.join(b, ["i", "j"]).groupBy("ka", "la", "l").agg(F.sum(distance(F.col("va"), F.col("v"))).alias("s"), F.count("*").alias("n"))
     own = F.max(F.when(F.col("la") == F.col("l"), F.struct(F.col("s"), F.col("n"))))
     other = F.min(F.when(F.col("la") != F.col("l"), F.col("s") / F.col("n")))
     each = per.groupBy("ka").agg(own.alias("own"), other.alias("b"))

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from plumbline.catalog import learning
-from plumbline.operators import models
+from plumbline.operators import metrics, models
 
 DATA = "/root/testdata/sf0.001"
 
@@ -51,3 +51,29 @@ def test_density_queries_take_all_events(spark, tmp_path):
     assert {tuple(x) for x in known["range_join_all"](spark, str(tmp_path)).collect()} == {(i, j) for i in near for j in near[i]}
     assert {x[0] for x in known["dbscan_core_all"](spark, str(tmp_path)).collect()} == core
     assert {x["id"]: (x["is_core"], x["cluster"]) for x in known["dbscan_labels_all"](spark, str(tmp_path)).collect()} == want
+
+
+def brute_silhouette(pts):
+    import numpy as np
+
+    v, labels = np.array([p[1] for p in pts], dtype=float), np.array([p[2] for p in pts])
+    total = 0.0
+    for i in range(len(pts)):
+        d = np.sqrt(((v - v[i]) ** 2).sum(1))
+        mean = {c: d[labels == c].sum() / ((labels == c).sum() - (c == labels[i])) for c in set(labels.tolist())}
+        a, b = mean[labels[i]], min(x for c, x in mean.items() if c != labels[i])
+        total += (b - a) / max(a, b)
+    return total / len(pts)
+
+
+def test_silhouette_of_more_rows_than_one_block(spark):
+    r = random.Random(6)
+    pts = [(i, [r.random(), r.random()], i % 3) for i in range(5_200)]
+    df = spark.createDataFrame(pts, "id int, v array<double>, c int")
+    assert metrics.silhouette(df, "id", "v", "c").head()[0] == pytest.approx(brute_silhouette(pts))
+
+
+def test_silhouette_takes_all_embeddings(spark):
+    pts = [tuple(x) for x in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    assert len(pts) > 300
+    assert entry.queries()["silhouette_all"](spark, DATA).head()[0] == pytest.approx(brute_silhouette(pts), abs=2e-6)
