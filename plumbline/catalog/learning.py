@@ -80,7 +80,16 @@ SELECT a.vec_id AS a, b.vec_id AS b, round(exp(-0.5 * list_distance(a.u, b.u) *
 def kernels(spark, d):
     v = table(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("a"), F.col("embedding").alias("u"))
     w = v.select(F.col("a").alias("b"), F.col("u").alias("w"))
-    p = v.join(F.broadcast(w), F.col("a") < F.col("b"))
+    return _kernels(v.join(F.broadcast(w), F.col("a") < F.col("b")))
+
+
+@query()
+def kernels_all(spark, d):
+    """The SQL of ``kernels`` has vec_id < 40; these are the pairs of the whole table."""
+    return _kernels(N.ordered_pairs(table(spark, d, "embeddings"), "vec_id", "embedding"))
+
+
+def _kernels(p):
     u, x = F.col("u"), F.col("w")
     return rounded(p.select("a", "b", S.kernel(u, x, "rbf", 0.5).alias("rbf"), S.kernel(u, x, "poly", 0.5, 3, 1.0).alias("poly"), S.kernel(u, x, "sigmoid", 0.5).alias("sigmoid")))
 

@@ -24,6 +24,13 @@ def _meet(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.withColumn("_b", F.pmod(F.xxhash64("t_id"), F.lit(BLOCKS)).cast("int")).join(q, "_b").drop("_b")
 
 
+def ordered_pairs(df: DataFrame, key: str, point: str) -> DataFrame:
+    """``a, u, b, w``: all pairs of rows with a < b and their points, met in blocks as in nearest()."""
+    q = df.select(col(key).alias("a"), col(point).alias("u"))
+    t = df.select(col(key).alias("t_id"), col(point).alias("w"))
+    return _meet(q, t).where("a < t_id").select("a", "u", F.col("t_id").alias("b"), "w")
+
+
 def nearest(train: DataFrame, queries: DataFrame, k: int, key: str, point: str, metric: str = "euclidean", label: str | None = None, exclude_self: bool = False) -> DataFrame:
     """``q_id, t_id, distance, rank[, label]``: the k nearest, ties by id. A rank limit runs before the last shuffle."""
     t = train.select(col(key).alias("t_id"), col(point).alias("t_v"), *([col(label).alias("label")] if label else []))

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from plumbline.catalog import learning
-from plumbline.operators import metrics, models
+from plumbline.operators import metrics, models, neighbours
 
 DATA = "/root/testdata/sf0.001"
 
@@ -77,3 +77,21 @@ def test_silhouette_takes_all_embeddings(spark):
     pts = [tuple(x) for x in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert len(pts) > 300
     assert entry.queries()["silhouette_all"](spark, DATA).head()[0] == pytest.approx(brute_silhouette(pts), abs=2e-6)
+
+
+@pytest.mark.parametrize("broadcast", [20_000, 10])
+def test_kernels_of_all_pairs(spark, monkeypatch, broadcast):
+    import numpy as np
+
+    monkeypatch.setattr(neighbours, "BROADCAST_QUERIES", broadcast)
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, v = [x[0] for x in e], np.array([x[1] for x in e], dtype=float)
+    dots = v @ v.T
+    squares = (v * v).sum(1)
+    rbf = np.exp(-0.5 * (squares[:, None] + squares[None, :] - 2 * dots))
+    place = {x: n for n, x in enumerate(ids)}
+    got = entry.queries()["kernels_all"](spark, DATA).collect()
+    assert len(got) == len({(x["a"], x["b"]) for x in got}) == len(e) * (len(e) - 1) // 2
+    for x in got:
+        i, j = place[x["a"]], place[x["b"]]
+        assert x["a"] < x["b"] and (x["rbf"], x["poly"], x["sigmoid"]) == pytest.approx((rbf[i, j], (0.5 * dots[i, j] + 1) ** 3, np.tanh(0.5 * dots[i, j])), abs=2e-6)
