@@ -466,6 +466,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     small = chosen.count() <= BROADCAST_ROWS
     ids = chosen.select("doc_id").distinct()
     texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    if not chosen.where("doc_id IS NULL").isEmpty():  # sets that only rows without a doc_id have
+        texts = texts.unionByName(docs.where("doc_id IS NULL"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
