@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import codec
-from plumbline.llm.common import table
+from plumbline.llm.common import small_batches, table
 
 MAX_TRANSITIONS = 400_000
 #: Code points with the property White_Space.
@@ -303,7 +303,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
             n, ids, a, c = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(list(ids), pa.list_(pa.int32())), pa.array(a, pa.string()), pa.array(c, pa.string())], [key, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    out = docs.select(key, "text").mapInArrow(run, schema)
+    out = small_batches(docs.select(key, "text")).mapInArrow(run, schema)
     return out if keep_ids else out.drop("ids")
 
 

@@ -2,18 +2,20 @@
 
 A ``ChunkTable`` maps chunks of text (which an encoder treats independently of their neighbours) to ids. Arrow
 splits a batch of texts into chunks and finds the distinct ones; only chunks that the table has not met go to the
-encoder. The table keeps ``LIMIT`` chunks at most; later ones are encoded batch by batch and not kept.
+encoder. The table keeps ``LIMIT`` chunks of ``LIMIT_CHARS`` characters in all at most, and none longer than
+``LONGEST``; others are encoded batch by batch and not kept.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-LIMIT = 150_000
+LIMIT, LIMIT_CHARS, LONGEST = 200_000, 3_000_000, 128
 BATCH_CHARS = 4 << 20
 
 _held: dict = {}
@@ -22,14 +24,19 @@ _held: dict = {}
 def only(key, make: Callable):
     """The object of ``key``, kept for the next task of this worker; a worker keeps one, whatever operators it serves."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
 def release() -> None:
-    """Drops what the worker keeps, for operators that keep nothing."""
+    """Drops what the worker keeps, and gives free memory back: workers serve one operator after another."""
     _held.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        return
 
 
 class ChunkTable:
@@ -39,7 +46,7 @@ class ChunkTable:
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.empty(1 << 14, np.int64)
         self.counts = np.empty(1 << 14, np.int64)
-        self.kept = self.kept_ids = self.n = self.n_ids = 0
+        self.kept = self.kept_ids = self.n = self.n_ids = self.chars = 0
 
     def _add(self, ids: list[int]) -> int:
         k, m = len(ids), self.n
@@ -56,11 +63,16 @@ class ChunkTable:
     def slots(self, chunks: list[str]) -> np.ndarray:
         known, get = self.known, self.known.get
         out = np.fromiter((get(c, -1) for c in chunks), np.int64, len(chunks))
-        for i in np.flatnonzero(out < 0).tolist():
+        # Those that are too long to be kept come last, where ``forget`` finds them.
+        for i in sorted(np.flatnonzero(out < 0).tolist(), key=lambda i: len(chunks[i]) > LONGEST):
             out[i] = slot = self._add(self.encode(chunks[i]))
-            if len(known) < self.limit:
+            size = len(chunks[i])
+            if len(known) < self.limit and size <= LONGEST and self.chars + size <= LIMIT_CHARS:
                 known[chunks[i]] = slot
+                self.chars += size
                 self.kept, self.kept_ids = self.n, self.n_ids
+            elif size <= LONGEST:
+                self.limit = 0  # full: nothing is kept from here on
         return out
 
     def forget(self) -> None:

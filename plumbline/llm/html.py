@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.common import table
+from plumbline.llm.common import small_batches, table
 
 MAX_LINK_DENSITY = 0.33
 SHORT, LONG = 70, 200
@@ -247,7 +247,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
             texts = [main_text(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return small_batches(pages.select("page_id", "url", "html")).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import codec
 from plumbline.llm.bpe import SPACES
-from plumbline.llm.common import table
+from plumbline.llm.common import small_batches, table
 
 SEQUENCE_TOKENS = 2048
 WINDOW_TOKENS = 1 << 21
@@ -203,7 +203,7 @@ def pack_documents(docs: DataFrame, path: str, key: str = "doc_id", size: int =
         if rows := list(packer.close()):
             yield out(rows)
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, {PIECES}")
+    return small_batches(docs.select(key, "text")).mapInArrow(run, f"`{key}` {kind}, {PIECES}")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.codec import release, text_blocks
-from plumbline.llm.common import table
+from plumbline.llm.common import small_batches, table
 
 MAX_TRAIN = 4_000
 DIMENSIONS = 1 << 18
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
 
 def score_documents(docs: DataFrame, model: Model, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """``docs`` with a score and a prediction, in place of columns of these names."""
-    docs = docs.drop(score, predicted)
+    docs = small_batches(docs.drop(score, predicted))
     names = docs.columns
     at = names.index("text")
 

@@ -27,7 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.codec import release
+from plumbline.llm.common import small_batches, table
 
 SCOPE = 400
 MIN_ENTROPY = 3.6
@@ -112,13 +113,14 @@ def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     struct = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             out: list[list] = [[]] * b.num_rows
             for i, _, spans in _scanned(b.column(1)):
                 out[i] = [{"kind": KINDS[k], "start": a, "end": e} for a, k, e in spans]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, struct)], [key, "spans"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, spans array<struct<kind:string,start:long,end:long>>")
+    return small_batches(docs.select(key, "text")).mapInArrow(run, f"`{key}` {kind}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -140,6 +142,7 @@ def redact(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             changed = {i: redacted(text, spans) for i, text, spans in _scanned(b.column(names.index("text")))}
             cols = list(b.columns)
@@ -152,7 +155,7 @@ def redact(docs: DataFrame) -> DataFrame:
                     cols[at] = pa.array(values, c.type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
