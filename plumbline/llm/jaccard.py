@@ -9,16 +9,19 @@ for small k in each pair of k + 2 parts. A set also signs for the band below if
 of fewer than two elements (or of none) counts only for sets with more than m parts that have such; other pairs agree
 in a part that holds more. So sets that are similar enough share a signature, and a common passage alone seldom makes one.
 
-1. One pass gives size and 128-bit digest of each document's set; equal sets are one class from then on.
-2. A second pass signs. A task keeps one document of each set and one of each signature (the others are linked to it at
-   once), so a signature reaches the shuffle once a task, however many documents have it. What meets there gives
-   candidate links, a star for each signature.
-3. Components of candidate links are the groups inside which similar sets can lie. Their sets are made once more.
-   Large groups are first cut into what parity sketches (a lower bound on the difference) leave possible.
-   A few pivots per large group link most of a dense group directly; what is still apart is compared in blocks,
-   pairs inside one component being left out. Parity sketches (a lower bound on the difference) spare most
-   exact comparisons; every link comes from an exact one.
-4. Components of the links, their smallest doc_id, joined back to all documents.
+1. One pass gives size, 128-bit digest and parity sketch of each document's set; equal sets are one class from then on.
+2. A second pass signs. A task keeps one document of each set; of each signature one entry a window reaches the shuffle,
+   and the sets of a window that share it are passed on as they are, dealt by pair. What meets gives buckets: the
+   sets of a signature. Of the signatures that the same sets have, one stays.
+3. Sketches (a lower bound on the difference) are joined to the buckets, and the sets of a bucket are compared by them:
+   most of what shares a signature by chance ends here, before it could tie groups together. What is left makes links,
+   and their components are the groups inside which similar sets can lie.
+4. The sets of these groups are made once more and compared exactly, again after size and sketch.
+5. Components of the exact links, their smallest doc_id, joined back to all documents.
+
+Buckets and groups of more than ``BLOCK_SETS`` sets are compared in blocks: a few pivots link most of a dense group
+directly, and what is still apart is dealt in pairs of blocks, those inside the largest component left out. A task emits
+a link only between sets it has not joined yet, so links grow with the sets of a group and not with its pairs.
 
 Defined results: null text counts as empty; an empty set is linked with nothing, not even another empty one; fewer
 words than a shingle's make one shingle; a null doc_id gets its class's smallest id, if any; repeated rows are
@@ -33,30 +36,34 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, NumericType, StructField, StructType
 
 from plumbline.llm.codec import release, text_blocks
-from plumbline.llm.common import table, written
-from plumbline.llm.components import components
+from plumbline.llm.common import erase, small_batches, table, written
+from plumbline.llm.components import Forest, components
 
 WINDOW_SIGNATURES = 1_000_000
 KNOWN_SETS = 200_000
+#: So many elements of sets a part of the signatures, about as many signatures.
+PART_ELEMENTS = 2_000_000
 BLOCK_SETS = 1_024
-BROADCAST_ROWS = 1_000_000
+#: Broadcasts: rows of a few numbers, and bytes of pivots.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 PIVOT_ROUNDS = 2
 PAIRS_UP_TO = 4
 #: A band signs by single parts if a part then holds this many elements on average or k is above INNER_UP_TO (where
 #: more signatures would cost too much), else by INNER_PARTS - 1 of INNER_PARTS inner parts; a signature stands for
 #: LEAST_HELD elements at least, where the spare parts allow it.
 FULL_PARTS, INNER_UP_TO, INNER_PARTS, LEAST_HELD = 5, 30, 4, 2
-#: Blocks of a large group hold sets of one size class (sizes up to this ratio), about so many elements each.
-CLASS_RATIO, BLOCK_ELEMENTS = 1.12, 1 << 20
-SKETCH_BITS = 2_048
+#: Blocks of a large group hold sets of one size class (sizes up to this ratio), about so many bytes each.
+CLASS_RATIO, BLOCK_BYTES = 1.12, 8 << 20
+#: Widths of sketches (powers of two), and words of sketches compared at once.
+LEAST_SKETCH, MOST_SKETCH, SKETCH_PAIRS = 8, 15, 1 << 21
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
@@ -160,20 +167,41 @@ class Signer:
         return _mix(sums[at[1:]] - sums[at[:-1]] + _U(0x9E3779B97F4A7C15) * number), np.diff(at)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the set's elements in each of a power of two of places, two an element or more: two sets differ in no
+    fewer elements than sketches in places. A sketch folds to one of half the width."""
+    width = 1 << max(LEAST_SKETCH, min(MOST_SKETCH, (2 * len(s) - 1).bit_length()))
+    places = ((s * _M2) >> _U(40)).astype(np.int64) & (width - 1)
+    return np.packbits((np.bincount(places, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(marks: list[bytes]) -> np.ndarray:
+    """Sketches at the width of the narrowest, one a row."""
+    least = min(map(len, marks))
+    rows = []
+    for m in marks:
+        x = np.frombuffer(m, np.uint64)
+        while x.nbytes > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows.append(x)
+    return np.stack(rows)
+
+
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in batches:
-            n, d = [], []
+            n, d, m = [], [], []
             for s in shingle_sets(b.column(1), words):
                 n.append(len(s))
                 d.append(digest(s) if len(s) else None)
+                m.append(sketch(s) if len(s) else None)
             nodes = [x and _node(x) for x in d]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "digest", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(nodes, pa.int64()), pa.array(m, pa.binary())], ["doc_id", "n_shingles", "digest", "node", "mark"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, node long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, node long, mark binary")
 
 
 def _node(d: bytes) -> int:
@@ -181,7 +209,8 @@ def _node(d: bytes) -> int:
 
 
 def _signed(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
-    """``part, links, entries``: links made inside a task (pairs of nodes), and signatures with a node of each."""
+    """Signatures packed by part: of each window one entry (with whether others of the window have it) a signature, and
+    ``shared``, the pairs (signature, node) of those that several sets of the window have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -197,25 +226,30 @@ def _signed(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             new = np.concatenate([[True], sig[1:] != sig[:-1]])
-            head = node[np.flatnonzero(new)][np.cumsum(new) - 1]
-            links = np.stack([node, head], 1)[(node != head)]
-            sig, node = sig[new], node[new]
+            size = np.diff(np.concatenate([np.flatnonzero(new), [len(sig)]]))
+            own = np.repeat(size > 1, size)
+            shared = np.stack([sig[own].view(np.int64), node[own]], 1)
+            # Passed on by pair, so that a signature that very many sets have is in every part.
+            to = (_mix(shared[:, 0].view(np.uint64) + _mix(shared[:, 1].view(np.uint64))) % _U(parts)).astype(np.int64)
+            by_part = np.argsort(to, kind="stable")
+            shared, ends = shared[by_part], np.searchsorted(to[by_part], np.arange(parts + 1))
+            sig, node, many = sig[new], node[new], size > 1
             part = (sig % _U(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             rows = []
             for p in range(parts):
-                own = order[cuts[p] : cuts[p + 1]]
-                names, index = np.unique(node[own], return_inverse=True)
+                mine = order[cuts[p] : cuts[p + 1]]
+                names, index = np.unique(node[mine], return_inverse=True)
                 small = np.uint16 if len(names) < 1 << 16 else np.uint32
-                mine = links[p::parts]
-                if len(own) or len(mine):
-                    rows.append((p, mine.tobytes(), sig[own].tobytes(), names.tobytes(), index.astype(small).tobytes()))
+                passed = shared[ends[p] : ends[p + 1]]
+                if len(mine) or len(passed):
+                    rows.append((p, sig[mine].tobytes(), names.tobytes(), index.astype(small).tobytes(), np.packbits(many[mine]).tobytes(), passed.tobytes()))
             signatures.clear()
             nodes.clear()
             counts.clear()
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "links", "signatures", "nodes", "index"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], _PACKED)
 
         held = 0
         for b in batches:
@@ -238,37 +272,62 @@ def _signed(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
                     held = 0
         yield from flush()
 
-    return docs.select("text").mapInArrow(run, "part int, links binary, signatures binary, nodes binary, index binary")
+    return docs.select("text").mapInArrow(run, "part int, signatures binary, nodes binary, index binary, many binary, shared binary")
 
 
-def _candidates(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``a, b, weight``: stars over the nodes that share a signature."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+_PACKED = ["part", "signatures", "nodes", "index", "many", "shared"]
+
+
+def _meet(rows: list[tuple]) -> np.ndarray:
+    """Pairs (signature, node) of one part whose signature other windows have too."""
+    signatures, nodes, many = [], [], []
+    for sig, names, index, flags, _ in rows:
+        names, sig = np.frombuffer(names, np.int64), np.frombuffer(sig, np.uint64)
+        small = np.uint16 if len(names) < 1 << 16 else np.uint32
+        signatures.append(sig)
+        nodes.append(names[np.frombuffer(index, small)])
+        many.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=len(sig)).astype(bool))
+    sig, node, many = np.concatenate(signatures), np.concatenate(nodes), np.concatenate(many)
+    order = np.lexsort((node, sig))
+    sig, node, many = sig[order], node[order], many[order]
+    if not len(sig):
+        return np.empty((0, 2), np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    size = np.diff(np.concatenate([starts, [len(sig)]]))
+    several = np.repeat(node[starts] != node[starts + size - 1], size)  # nodes are sorted: the first is not the last
+    out = several & ~many
+    return np.stack([sig[out].view(np.int64), node[out]], 1)
+
+
+def _buckets(docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+    """``sig, node, n``: the sets of each signature that several have; of signatures with the same sets, one stays."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        links, signatures, nodes = [], [], []
-        for b in batches:
-            for link, sig, names, index in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                links.append(np.frombuffer(link, np.int64).reshape(-1, 2))
-                signatures.append(np.frombuffer(sig, np.uint64))
-                names = np.frombuffer(names, np.int64)
-                small = np.uint16 if len(names) < 1 << 16 else np.uint32
-                nodes.append(names[np.frombuffer(index, small)])
-        if not signatures:
-            return
-        sig, node = np.concatenate(signatures), np.concatenate(nodes)
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        if len(sig):
-            new = np.concatenate([[True], sig[1:] != sig[:-1]])
-            head = node[np.flatnonzero(new)][np.cumsum(new) - 1]
-            links.append(np.stack([node, head], 1)[node != head])
-        pairs = pd.DataFrame(np.concatenate(links), columns=["a", "b"]).groupby(["a", "b"], as_index=False).size()
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs["a"]), pa.array(pairs["b"]), pa.array(pairs["size"].astype(np.int64))], ["a", "b", "weight"])
 
-    return _signed(docs, words, percent, parts).repartition(parts, "part").mapInArrow(meet, "a long, b long, weight long")
+        def out(pairs: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["sig", "node"])
+
+        part, rows = None, []
+        for b in batches:
+            for p, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if p != part:
+                    if rows:
+                        yield out(_meet(rows))
+                    part, rows = p, []
+                if row[-1]:
+                    yield out(np.frombuffer(row[-1], np.int64).reshape(-1, 2))
+                rows.append((*row[:-1], None))
+        if rows:
+            yield out(_meet(rows))
+
+    packed = _signed(docs, words, percent, parts).repartition(parts, "part").sortWithinPartitions("part")
+    pairs = written(packed.mapInArrow(meet, "sig long, node long").distinct(), "shared-signatures")
+    alike = pairs.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
+    first = alike.where("n > 1").groupBy("n", "lo", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "n")
+    out = written(pairs.join(first, "sig"), "buckets")
+    erase(pairs)
+    return out
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -278,63 +337,49 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity of each set in each of a power of two of places: they differ in no more places than the sets in elements."""
-    width = max(1024, min(1 << 14, 1 << (4 * max(map(len, sets), default=1) - 1).bit_length()))
-    out = np.zeros((len(sets), width // 8), np.uint8)
-    for i, s in enumerate(sets):
-        out[i] = np.packbits((np.bincount(((s * _M2) >> _U(40)).astype(np.int64) & (width - 1), minlength=width) & 1).astype(np.uint8))
-    return out.view(np.uint64)
-
+def block_links(names: list[bytes], n: np.ndarray, payloads: list[bytes], left: int, alone: bool, percent: int, exact: bool, forest: Forest) -> list[tuple[bytes, bytes]]:
+    """Links between different trees of ``forest``, which takes them in: all pairs if ``alone``, else left with right.
 
-def link_blocks(left: list[np.ndarray], right: list[np.ndarray] | None, labels: list[object], percent: int) -> list[tuple[int, int]]:
-    """Links (indexes into left + right) that join what ``labels`` and earlier links have not joined.
-
-    ``right = None`` compares left with itself. Every pair of different components is compared by sketch at least.
+    Pairs are told apart by size and sketch; with ``exact`` the payloads are sets, and what is left is compared whole.
     """
-    sets = left + (right or [])
-    first: dict[object, int] = {}
-    parent = [first.setdefault(x, i) for i, x in enumerate(labels)]
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    marks, n = sketches(sets), np.array([len(s) for s in sets])
-    out = []
-    for i in range(len(left)):
-        to = np.arange(i + 1, len(left)) if right is None else np.arange(len(left), len(sets))
-        small, large = np.minimum(n[to], n[i]), np.maximum(n[to], n[i])
-        to = to[small * 100 >= percent * large]
-        if not len(to):
-            continue
-        apart = np.bitwise_count(marks[to] ^ marks[i]).sum(1, dtype=np.int64)
-        to = to[apart * percent <= np.minimum(n[to], n[i]) * (100 - percent)]
-        for j in to.tolist():
-            a, b = find(i), find(j)
-            if a != b and similar(sets[i], sets[j], percent):
-                parent[max(a, b)] = min(a, b)
-                out.append((i, j))
+    label = np.unique([forest.find(x) for x in names], return_inverse=True)[1]
+    if not (label != label[0]).any():
+        return []
+    sets = [np.frombuffer(x, np.uint64) for x in payloads] if exact else []
+    marks = folded([sketch(s) for s in sets] if exact else payloads)
+    out, step = [], max(1, SKETCH_PAIRS // (len(names) * marks.shape[1]))
+    for at in range(0, left, step):
+        to = min(left, at + step)
+        first = at + 1 if alone else left
+        small, large = np.minimum(n[at:to, None], n[None, first:]), np.maximum(n[at:to, None], n[None, first:])
+        near = (small * 100 >= percent * large) & (np.bitwise_count(marks[at:to, None] ^ marks[None, first:]).sum(2, dtype=np.int64) * percent <= small * (100 - percent))
+        for i in range(at, to):
+            js = first + np.flatnonzero(near[i - at])
+            js = js[(js > i) & (label[js] != label[i])]
+            while len(js):
+                j, js = int(js[0]), js[1:]
+                if not exact or similar(sets[i], sets[j], percent):
+                    label[label == label[j]] = label[i]
+                    forest.join(names[i], names[j])
+                    out.append((names[i], names[j]))
+                    js = js[label[js] != label[i]]
     return out
 
 
-def _dealt(named: DataFrame, percent: int, payload: str) -> DataFrame:
-    """``grp, lo, hi, low, digest, label, n, <payload>``: rows of ``grp, digest, label, n, <payload>`` for each pair of blocks to compare.
+def _dealt(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of large groups (``grp, digest, label, n, payload``) for each pair of blocks to compare, with ``lo, hi, later``.
 
-    A small group is one block. In a large one a block holds sets of one size class, either of the largest component
-    (core) or of the others, so that neither sizes too far apart nor two blocks of the core are ever dealt together.
+    A block holds sets of one size class, either of the largest component (core) or of the others, so that neither
+    sizes too far apart nor two blocks of the core are ever dealt together.
     """
-    counts = named.groupBy("grp", "label").count().groupBy("grp").agg(F.sum("count").alias("size"), F.max(F.struct("count", "label")).alias("most"))
-    large_one = F.col("size") > BLOCK_SETS
-    b = named.join(counts, "grp").select(
-        "grp", "digest", "label", "n", payload,
-        (large_one & (F.col("label") == F.col("most.label")) & (F.col("most.count") > 1)).alias("core"),
-        F.when(large_one, F.floor(F.log("n") / math.log(CLASS_RATIO))).otherwise(0).cast("int").alias("class"),
+    counts = written(rows.groupBy("grp", "label").count().groupBy("grp").agg(F.max(F.struct("count", "label")).alias("most")), "cores")
+    b = rows.join(counts, "grp").select(
+        "grp", "digest", "label", "n", "payload",
+        ((F.col("label") == F.col("most.label")) & (F.col("most.count") > 1)).alias("core"),
+        F.floor(F.log("n") / math.log(CLASS_RATIO)).cast("int").alias("class"),
     )
-    per = b.groupBy("grp", "core", "class").agg(F.sum("n").alias("elements"), F.count("*").alias("sets"))
-    subs = F.greatest(F.ceil(F.col("elements") / BLOCK_ELEMENTS), F.ceil(F.col("sets") / (4 * BLOCK_SETS)), F.lit(1)).cast("int")
+    per = b.groupBy("grp", "core", "class").agg(F.sum(F.octet_length("payload")).alias("bytes"), F.count("*").alias("sets"))
+    subs = F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.ceil(F.col("sets") / BLOCK_SETS), F.lit(1)).cast("int")
     per = written(per.groupBy("grp").agg(F.collect_list(F.struct("core", "class", subs.alias("subs"))).alias("blocks")), "blocks")
     near = math.ceil(math.log(100 / percent) / math.log(CLASS_RATIO))
     b = b.join(per, "grp")
@@ -342,146 +387,157 @@ def _dealt(named: DataFrame, percent: int, payload: str) -> DataFrame:
     b = b.withColumn("block", F.struct("core", "class", F.pmod(F.xxhash64("digest"), own).cast("int").alias("sub")))
     meets = F.filter("blocks", lambda x: (F.abs(x["class"] - F.col("class")) <= near) & ~(x["core"] & F.col("core")))
     others = F.flatten(F.transform(meets, lambda x: F.transform(F.sequence(F.lit(0), x["subs"] - 1), lambda i: F.struct(x["core"].alias("core"), x["class"].alias("class"), i.alias("sub")))))
-    dealt = b.select("grp", "digest", "label", "n", payload, "block", F.explode(others).alias("other"))
-    dealt = dealt.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("low"), "digest", "label", "n", payload)
-    name = lambda c: F.concat_ws("/", F.col(c)["core"].cast("string"), F.col(c)["class"].cast("string"), F.col(c)["sub"].cast("string"))
-    return dealt.withColumns({"lo": name("lo"), "hi": name("hi")})
-
-
-def parity(s: np.ndarray) -> bytes:
-    """Sketch of a set in SKETCH_BITS places: the parity of its elements in each."""
-    places = ((s * _M2) >> _U(40)).astype(np.int64) & (SKETCH_BITS - 1)
-    return np.packbits((np.bincount(places, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
-
-
-def join_by_sketch(marks: np.ndarray, n: np.ndarray, left: int, alone: bool, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs (left with right, or all if ``alone``) that sketches and sizes leave possible."""
-    parent = list(range(len(n)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    out = []
-    for i in range(left):
-        at = i + 1 if alone else left
-        small, large = np.minimum(n[at:], n[i]), np.maximum(n[at:], n[i])
-        to = at + np.flatnonzero(small * 100 >= percent * large)
-        if not len(to):
-            continue
-        apart = np.bitwise_count(marks[to] ^ marks[i]).sum(1, dtype=np.int64)
-        for j in to[apart * percent <= np.minimum(n[to], n[i]) * (100 - percent)].tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((i, j))
-    return out
+    dealt = b.select("grp", "digest", "label", "n", "payload", "block", F.explode(others).alias("other"))
+    name = lambda c: F.concat_ws("/", c["core"].cast("string"), c["class"].cast("string"), c["sub"].cast("string"))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    return dealt.select("grp", name(lo).alias("lo"), name(hi).alias("hi"), (F.col("block") > F.col("other")).alias("later"), "digest", "label", "n", "payload")
 
 
-def _refined(sets: DataFrame, percent: int) -> DataFrame:
-    """``sets`` with large groups cut into the components that sketches leave possible.
+_LABELLED = ["grp", "digest", "weight", "n", "payload", "label"]
 
-    Large groups hold mostly sets that have only a signature by chance in common. Sketches are a sixteenth of the
-    sets or less, so it is they that are dealt in blocks; what comes apart needs no exact comparison.
-    """
-    large = written(sets.groupBy("grp").count().where(F.col("count") > BLOCK_SETS).select("grp"), "large-groups")
-    if large.isEmpty():
-        return sets
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            marks = [parity(np.frombuffer(x.as_buffer(), np.uint64)) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.binary_length(b.column(2)).cast(pa.int64()), pa.array(marks, pa.binary())], ["grp", "digest", "bytes", "mark"])
+def _links(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links ``a, b`` (digests) that make up the components of near pairs inside groups of ``grp, digest, weight, n, payload``.
 
-    marks = sets.join(large, "grp").select("grp", "digest", "shingles").mapInArrow(sketch, "grp long, digest binary, bytes long, mark binary")
-    dealt = _dealt(marks.select("grp", "digest", F.col("digest").alias("label"), (F.col("bytes") / 8).cast("long").alias("n"), "mark"), percent, "mark")
+    Near: similar if ``exact`` (payloads are sets), else not told apart by size and sketch (payloads are sketches).
+    """
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pd.concat([pdf[pdf["low"]], pdf[~pdf["low"]]])
-        all_marks = np.frombuffer(b"".join(pdf["mark"]), np.uint64).reshape(len(pdf), -1)
-        rows = join_by_sketch(all_marks, pdf["n"].to_numpy(), int(pdf["low"].sum()), pdf["lo"].iloc[0] == pdf["hi"].iloc[0], percent)
-        names = pdf["digest"].to_list()
-        return pd.DataFrame({"a": [names[i] for i, _ in rows], "b": [names[j] for _, j in rows]}, columns=["a", "b"])
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            labels = []
+            for d, n, x, label, p in zip(*(b.column(i).to_pylist() for i in (1, 3, 4, 5, 6)), strict=True):
+                if label == d != p["digest"] and block_links([d, p["digest"]], np.array([n, p["n"]]), [x, p["payload"]], 1, True, percent, exact, Forest()):
+                    label = p["digest"]
+                labels.append(label)
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(labels, pa.binary())], _LABELLED)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        forest, group, held, links = Forest(), None, [], []
+
+        def close() -> None:
+            forest.trim()
+            names = [r[1] for r in held]
+            for _, d, label, _, _ in held:
+                if label != d:
+                    forest.join(d, label)
+            later = sum(r[0] for r in held)
+            if alone := group[1] == group[2]:
+                later = 0
+            if len(names) > 1 and (alone or 0 < later < len(names)):
+                links.extend(block_links(names, np.array([r[3] for r in held]), [r[4] for r in held], len(names) - later, alone, percent, exact, forest))
 
-    found = components(written(dealt.groupBy("grp", "lo", "hi").applyInPandas(compare, "a binary, b binary"), "sketch-links"))
-    again = sets.join(found.select(F.col("node").alias("digest"), "label"), "digest", "left").join(large.withColumn("is_large", F.lit(True)), "grp", "left")
-    # What stands alone in a large group has no partner; its new group is its own.
-    name = F.when(F.col("is_large"), F.xxhash64("grp", F.coalesce("label", "digest"))).otherwise(F.col("grp"))
-    return written(again.where("is_large IS NULL OR label IS NOT NULL").select("digest", name.alias("grp"), "weight", "shingles"), "refined-sets")
+        for b in batches:
+            for grp, lo, hi, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (grp, lo, hi) != group:
+                    if held:
+                        close()
+                    group, held = (grp, lo, hi), []
+                held.append(row)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+                links.clear()
+        if held:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    large = written(rows.groupBy("grp").count().where(F.col("count") > BLOCK_SETS).select("grp"), "large-groups")
+    n_large = large.count()
+    few = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+    plain = rows.join(few, "grp", "left_anti") if n_large else rows
+    dealt = plain.select("grp", F.lit("").alias("lo"), F.lit("").alias("hi"), F.lit(False).alias("later"), "digest", F.col("digest").alias("label"), "n", "payload")
+    found = None
+    if n_large:
+        hot = rows.join(few, "grp").select(*_LABELLED[:-1], F.col("digest").alias("label"))
+        hot = written(hot, "large-rows")
+        for _ in range(PIVOT_ROUNDS):
+            # In each large group the set with most partners that no pivot has been linked to yet.
+            free = hot.where("digest = label").groupBy("grp").agg(F.max(F.struct("weight", "digest", "n", "payload")).alias("p"))
+            pivots = written(free, "pivots")
+            size = pivots.agg(F.sum(F.octet_length("p.payload"))).head()[0] or 0
+            pairs = hot.join(F.broadcast(pivots) if size <= BROADCAST_BYTES else pivots, "grp", "left").select(*_LABELLED, F.coalesce("p", F.struct("weight", "digest", "n", "payload")).alias("p"))
+            before, hot = hot, written(pairs.mapInArrow(star, hot.schema), "large-rows")
+            erase(before, pivots)
+        found = hot.where("digest <> label").select(F.col("label").alias("a"), F.col("digest").alias("b"))
+        dealt = dealt.unionByName(_dealt(hot, percent))
+    by_block = dealt.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "later", "digest")
+    rest = written(by_block.select("grp", "lo", "hi", "later", "digest", "label", "n", "payload").mapInArrow(compare, "a binary, b binary"), "links")
+    return rest if found is None else found.unionByName(rest)
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` (digests) between similar sets of ``grp, digest, weight, shingles`` that make up their components."""
-    found = None
-    labels = sets.select("digest", F.col("digest").alias("label"))
-    sizes = sets.groupBy("grp").count()
-    large = written(sizes.where(F.col("count") > BLOCK_SETS).select("grp"), "large-groups")
-    any_large = not large.isEmpty()
+def _few(ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``ids`` with a hint to broadcast them, if they are numbers and at most ``BROADCAST_ROWS``."""
+    return F.broadcast(ids) if isinstance(ids.schema[name].dataType, NumericType) and ids.count() <= BROADCAST_ROWS else ids
 
-    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(d, p) for d, x, p, y in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True) if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)], ["a", "b"])
-
-    for _ in range(PIVOT_ROUNDS if any_large else 0):
-        # In each large group the set with most shared signatures that no pivot has been linked to yet.
-        free = sets.join(large, "grp").join(labels, "digest").where("digest = label")
-        pivots = free.groupBy("grp").agg(F.max(F.struct("weight", "digest")).alias("p")).select("grp", F.col("p.digest").alias("digest"))
-        pivots = pivots.join(sets.select("digest", "shingles"), "digest").select("grp", F.col("digest").alias("pivot"), F.col("shingles").alias("of"))
-        rows = sets.join(pivots, "grp").where("digest <> pivot").select("digest", "shingles", "pivot", "of")
-        now = written(rows.mapInArrow(star, "a binary, b binary"), "links")
-        found = now if found is None else found.unionByName(now)
-        joined = components(found)
-        labels = written(sets.select("digest").join(joined, F.col("digest") == F.col("node"), "left").select("digest", F.coalesce("label", "digest").alias("label")), "set-labels")
-
-    named = sets.join(labels, "digest") if any_large else sets.withColumn("label", F.col("digest"))
-    dealt = _dealt(named.withColumn("n", (F.octet_length("shingles") / 8).cast("long")), percent, "shingles")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo = pdf[pdf["low"]]
-        hi = pdf[~pdf["low"]]
-        as_sets = lambda x: [np.frombuffer(s, np.uint64) for s in x["shingles"]]
-        alone = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
-        names = [*lo["digest"], *hi["digest"]]
-        rows = link_blocks(as_sets(lo), None if alone else as_sets(hi), [*lo["label"], *hi["label"]], percent)
-        return pd.DataFrame({"a": [names[i] for i, _ in rows], "b": [names[j] for _, j in rows]}, columns=["a", "b"])
-
-    rest = written(dealt.groupBy("grp", "lo", "hi").applyInPandas(compare, "a binary, b binary"), "links")
-    return rest if found is None else found.unionByName(rest)
 
+def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, keep_keys: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row: components of documents with a similarity of ``percent`` / 100 or more.
 
-def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row: components of documents with a similarity of ``percent`` / 100 or more."""
-    docs = docs.select("doc_id", "text")
+    ``keep_keys`` adds ``digest`` (of the row's set) and ``key`` (the class's), by which rows with the same doc_id and
+    other texts are told apart; both are null where the set is empty.
+    """
+    docs = small_batches(docs.select("doc_id", "text"))
     rows = written(_sizes(docs, words), "set-sizes")
-    stars = written(_candidates(docs, words, percent), "candidates")
-    weights = stars.select(F.col("a").alias("node"), "weight").unionByName(stars.select(F.col("b").alias("node"), F.lit(0).cast("long").alias("weight"))).groupBy("node").agg(F.sum("weight").alias("weight"))
-    groups = components(stars).join(weights, "node").select("node", F.col("label").alias("grp"), "weight")
-    chosen = written(
-        rows.where("digest IS NOT NULL").groupBy("digest", "node").agg(F.min("doc_id").alias("doc_id")).join(groups, "node").select("digest", "doc_id", "grp", "weight"),
-        "candidate-sets",
-    )
-    small = chosen.count() <= BROADCAST_ROWS
-    ids = chosen.select("doc_id").distinct()
-    texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    if not chosen.where("doc_id IS NULL").isEmpty():  # sets that only rows without a doc_id have
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    elements = rows.agg(F.sum("n_shingles")).head()[0] or 0
+    buckets = _buckets(docs, words, percent, max(parts, math.ceil(elements / PART_ELEMENTS)))
+    weights = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
+    known = rows.where("digest IS NOT NULL").groupBy("digest", "node", F.col("n_shingles").alias("n"), "mark").agg(F.min("doc_id").alias("doc_id"))
+    chosen = written(known.join(weights, "node"), "candidate-sets")
+    entries = written(buckets.select("sig", "node").join(chosen, "node").select(F.col("sig").alias("grp"), "digest", "weight", "n", F.col("mark").alias("payload")), "entries")
+    erase(buckets)
+    groups = components(_links(entries, percent, exact=False)).select(F.col("node").alias("digest"), F.col("label").alias("grp"))
+    grouped = written(chosen.join(groups, "digest").select("digest", "doc_id", "grp", "weight", "n"), "grouped-sets")
+    erase(entries, chosen)
+    texts = docs.join(_few(grouped.select("doc_id").distinct()), "doc_id", "left_semi")
+    if not grouped.where("doc_id IS NULL").isEmpty():  # sets that only rows without a doc_id have
         texts = texts.unionByName(docs.where("doc_id IS NULL"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             found = [(digest(s), s.tobytes()) for s in shingle_sets(b.column(0), words)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)], ["digest", "payload"])
 
-    sets = texts.select("text").mapInArrow(run, "digest binary, shingles binary").groupBy("digest").agg(F.min("shingles").alias("shingles"))
-    sets = written(sets.join(chosen.select("digest", "grp", "weight"), "digest"), "sets")
-    linked = components(_links(_refined(sets, percent), percent)).select(F.col("node").alias("digest"), "label")
-    keyed = rows.join(linked, "digest", "left").withColumn("key", F.coalesce("label", "digest"))
+    sets = texts.select("text").mapInArrow(run, "digest binary, payload binary").groupBy("digest").agg(F.min("payload").alias("payload"))
+    sets = written(sets.join(grouped.select("digest", "grp", "weight", "n"), "digest").select("grp", "digest", "weight", "n", "payload"), "sets")
+    linked = components(_links(sets, percent, exact=True)).select(F.col("node").alias("digest"), "label")
+    erase(sets, grouped)
+    keyed = rows.drop("mark").join(linked, "digest", "left").withColumn("key", F.coalesce("label", "digest"))
     # Written, so that the join below deals its two sides anew and a key with very many documents can be split.
     least = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1")
     least = written(least.select("key", "component_id"), "components")
-    return keyed.join(least, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = keyed.join(least, "key", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *["digest", "key"] * keep_keys)
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that with the smallest doc_id, of several rows with that
+    doc_id the one with the smallest digest, and of several with that set too the least in its columns, by their order.
+
+    Rows with a null doc_id stay; so do documents without words, of which rows equal in all columns count once.
+    """
+    classes = written(jaccard_classes(docs, words, percent, keep_keys=True), "classes")
+    gone = written(classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+    again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    names = docs.columns
+    if again.isEmpty():
+        return docs.join(_few(gone), "doc_id", "left_anti").select(*names)
+    few, own = _few(again), "_" * max(map(len, names))  # longer than the columns that are there
+    once = docs.join(few, "doc_id", "left_anti").join(_few(gone), "doc_id", "left_anti").select(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [digest(s) if len(s) else None for s in shingle_sets(b.column(names.index("text")), words)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], [*names, f"{own}digest"])
+
+    rows = docs.join(few, "doc_id", "left_semi").select(*names)
+    rows = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(f"{own}digest", BinaryType())]))
+    heads = classes.join(few, "doc_id", "left_semi").where("doc_id = component_id AND key IS NOT NULL").groupBy("doc_id", "key").agg(F.min("digest").alias(f"{own}digest"))
+    kept = rows.join(written(heads.select("doc_id", f"{own}digest"), "heads"), ["doc_id", f"{own}digest"], "left_semi")
+    kept = kept.groupBy("doc_id", f"{own}digest").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    empty = rows.where(F.col(f"{own}digest").isNull()).select(*names).dropDuplicates()
+    return once.unionByName(kept).unionByName(empty)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,6 +276,39 @@ def test_components_of_a_path(spark):
     assert set(got.values()) == {1, 100} and len(got) == 62
 
 
+def test_components_in_several_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "TASK_EDGES", 7)
+    r = random.Random(5)
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(r.randrange(200, 230), r.randrange(200, 230)) for _ in range(20)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = {x["node"]: x["label"] for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in list(parent)}
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_links_grow_with_the_sets_of_a_group(spark, monkeypatch, exact):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 64)
+    rng = np.random.default_rng(2)
+    base, made = rng.integers(0, 2**64, 60, dtype=np.uint64), []
+    for _ in range(3_000):
+        s = base.copy()
+        s[rng.integers(0, 60, 3)] = rng.integers(0, 2**64, 3, dtype=np.uint64)
+        made.append(np.unique(s))
+    rows = [(1, jaccard.digest(s), 1, len(s), s.tobytes() if exact else jaccard.sketch(s)) for s in made]
+    links = jaccard._links(spark.createDataFrame(rows, "grp long, digest binary, weight long, n long, payload binary"), 90, exact).collect()
+    assert len(links) < 2 * len(rows)
+
+
 # --- queries and pipeline
 
 
