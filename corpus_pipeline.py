@@ -27,18 +27,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates.
-
-    Rows with a null doc_id and documents without words stay; of rows that are equal in all columns, one stays.
-    """
-    classes = jaccard.jaccard_classes(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    gone = written(classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    kept = docs.join(F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_ROWS else gone, "doc_id", "left_anti")
-    again = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    repeated = kept.join(again, "doc_id").select(*docs.columns).dropDuplicates()
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
+    """Keeps one row of each group of near duplicates, that with the smallest doc_id; rows with a null doc_id stay."""
+    return jaccard.one_of_each(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
