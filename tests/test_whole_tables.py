@@ -95,12 +95,3 @@ def test_kernels_of_all_pairs(spark, monkeypatch, broadcast):
     for x in got:
         i, j = place[x["a"]], place[x["b"]]
         assert x["a"] < x["b"] and (x["rbf"], x["poly"], x["sigmoid"]) == pytest.approx((rbf[i, j], (0.5 * dots[i, j] + 1) ** 3, np.tanh(0.5 * dots[i, j])), abs=2e-6)
-
-
-def test_jaccard_links_through_a_null_id(spark):
-    from plumbline.llm import jaccard
-
-    text = lambda i: " ".join(f"w{n}" for n in range(i, i + 10))
-    docs = spark.createDataFrame([(1, text(0)), (None, text(1)), (2, text(2)), (3, "else")], "doc_id long, text string")
-    got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_classes(docs, 1, 80).collect()}
-    assert got == {1: 1, None: 1, 2: 1, 3: 3}
