@@ -1,13 +1,15 @@
 """Frequent itemsets and association rules.
 
-Baskets are an array column. ``itemsets`` grows them level by level by equi-joins on shared prefixes (exact and
-bounded by ``max_length``); ``fp_itemsets`` uses the parallel FP-growth of the ML library for long patterns. Rules
+Baskets are an array column. ``itemsets`` counts equal baskets once, cuts them to frequent items and, where that leaves
+few subsets of up to ``max_length`` items, counts these as they come out of each row, with map-side combine;
+otherwise, and without a bound, it uses ``fp_itemsets``, the parallel FP-growth of the ML library. Both are exact. Rules
 come from every split of each itemset, their supports from joins on the itemset.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 from plumbline.columns import col, numeric
 from plumbline.functions.scalar import fixed, item, shown
 
+#: Frequent items that ``itemsets`` takes into its plan, and subsets of a row that it makes, at most.
+FREQUENT_ITEMS, ROW_SUBSETS = 1_000, 5_000
+
 
 def baskets(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``items`` of each row (see ``scalar.item``); rows without items are dropped."""
@@ -32,48 +37,54 @@ def list_baskets(df: DataFrame, column: str) -> DataFrame:
 
 
 def itemsets(b: DataFrame, min_support: float = 0.1, max_length: int | None = None) -> DataFrame:
-    """``items, freq, support`` of all itemsets with at least the support.
-
-    Level k joins the frequent (k-1)-sets that share their first k-2 items (downward closure by construction), and
-    counts candidates by the baskets that hold both parents: an equi-join on basket and prefix.
-    """
-    rows = b.select(F.monotonically_increasing_id().alias("basket"), "items")
-    n = rows.count()
+    """``items, freq, support`` of all itemsets with at least the support, of at most ``max_length`` items."""
+    n = b.count()
     least = min_support * n - 1e-9
-    level = rows.select("basket", F.explode(F.array_distinct("items")).alias("last")).select("basket", F.array().cast("array<string>").alias("prefix"), "last")
-    out, k = None, 1
-    while n:
-        found = level.groupBy("prefix", "last").agg(F.count("*").alias("freq")).where(F.col("freq") >= least).persist()
-        if found.isEmpty():
-            break
-        sets = found.select(F.concat("prefix", F.array("last")).alias("items"), "freq", (F.col("freq") / n).alias("support"))
-        out = sets if out is None else out.unionByName(sets)
-        if max_length is not None and k >= max_length:
-            break
-        held = level.join(found.select("prefix", "last"), ["prefix", "last"])
-        a, c = held.alias("a"), held.alias("c")
-        on = (F.col("a.basket") == F.col("c.basket")) & (F.col("a.prefix") == F.col("c.prefix")) & (F.col("a.last") < F.col("c.last"))
-        level = a.join(c, on).select("a.basket", F.concat("a.prefix", F.array("a.last")).alias("prefix"), F.col("c.last").alias("last"))
-        k += 1
-    if out is None:
+    single = b.select(F.explode(F.array_distinct("items")).alias("item")).groupBy("item").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
+    frequent = [r[0] for r in single.select("item").limit(FREQUENT_ITEMS + 1).collect()] if max_length else []
+    if max_length is None or len(frequent) > FREQUENT_ITEMS:
+        return fp_itemsets(b, min_support, max_length)
+    if not n or not frequent or max_length < 1:
         return b.sparkSession.createDataFrame([], "items array<string>, freq long, support double")
-    return out
+    pruned = b.select(F.array_sort(F.array_distinct(F.array_intersect("items", F.array(*map(F.lit, sorted(frequent)))))).alias("items"))
+    # Subsets of a basket of m items: the sum of the binomials up to max_length.
+    binomial, subsets = F.lit(1.0), F.lit(0.0)
+    for k in range(1, max_length + 1):
+        binomial = binomial * F.greatest(F.size("items") - (k - 1), F.lit(0)) / k
+        subsets = subsets + binomial
+    most = pruned.agg(F.max(subsets)).head()[0] or 0
+    if most > ROW_SUBSETS:
+        return fp_itemsets(b, min_support, max_length)
+    alike = pruned.where(F.size("items") > 0).groupBy("items").agg(F.count("*").alias("freq"))
+    none = F.array(F.array().cast("array<string>"))
+    grown = F.aggregate("items", none, lambda made, x: F.concat(made, F.transform(F.filter(made, lambda s: F.size(s) < max_length), lambda s: F.concat(s, F.array(x)))))
+    found = alike.select(F.explode(F.filter(grown, lambda s: F.size(s) > 0)).alias("items"), "freq").groupBy("items").agg(F.sum("freq").alias("freq"))
+    return found.where(F.col("freq") >= least).withColumn("support", F.col("freq") / n)
 
 
 def fp_itemsets(b: DataFrame, min_support: float = 0.1, max_length: int | None = None) -> DataFrame:
     from pyspark.ml.fpm import FPGrowth
 
     n = b.count()
-    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(b).freqItemsets
+    least = max(1, math.ceil(min_support * n - 1e-9))
+    # Half a row below the least count, so that rounding of the product does not move it.
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / max(1, n)).fit(b).freqItemsets
     found = found.where(F.size("items") <= max_length) if max_length else found
     return found.select(F.array_sort("items").alias("items"), "freq", (F.col("freq") / n).alias("support"))
 
 
 def rules(sets: DataFrame, min_confidence: float = 0.5, min_lift: float = 1.0) -> DataFrame:
-    """All splits of each itemset: ``antecedent, consequent, support, confidence, lift`` and both sides' supports."""
+    """All splits of each itemset: ``antecedent, consequent, support, confidence, lift`` and both sides' supports.
+
+    Splits are bit masks, made in two halves so that no row holds them all; sets of more than 62 items raise.
+    """
     size = F.size("items")
-    masks = F.expr("sequence(1, shiftleft(1, size(items)) - 2)")
-    splits = sets.where(size.between(2, 20)).select("items", "support", F.explode(masks).alias("mask"))
+    checked = F.when(size > 62, F.raise_error(F.lit("an itemset of more than 62 items")).cast("int")).otherwise(size)
+    many = sets.where(size >= 2).select("items", "support", checked.alias("k"))
+    many = many.withColumn("high", F.explode(F.expr("sequence(0L, shiftleft(1L, greatest(k - 12, 0)) - 1)")))
+    many = many.withColumn("low", F.explode(F.expr("sequence(0L, shiftleft(1L, least(k, 12)) - 1)")))
+    mask = F.shiftleft("high", 12) + F.col("low")
+    splits = many.withColumn("mask", mask).where("mask > 0 AND mask < shiftleft(1L, k) - 1").select("items", "support", "mask")
     part = lambda bit: F.expr(f"filter(items, (x, i) -> (shiftright(mask, i) & 1) = {bit})")
     s = splits.select(part(1).alias("antecedent"), part(0).alias("consequent"), "support")
     known = sets.select("items", F.col("support").alias("own"))

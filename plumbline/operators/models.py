@@ -20,8 +20,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.columns import col, numeric
-from plumbline.functions.scalar import dot
+from plumbline.functions.scalar import dot, kernel
 from plumbline.operators import metrics, neighbours
+from plumbline.operators.neighbours import numbered
 
 SEED = 42
 
@@ -174,7 +175,7 @@ class LinearRegression(_LibraryRegressor):
 
 
 class Ridge(LinearRegression):
-    """Mean squared error plus alpha times the squared norm; the intercept is free."""
+    """Mean squared error plus alpha times the squared norm; the intercept is free. Solved at once: ``epochs`` is for iterative solvers."""
 
     def __init__(self, alpha: float = 1.0, epochs: int = 100):
         self.alpha, self.epochs = alpha, epochs
@@ -183,8 +184,8 @@ class Ridge(LinearRegression):
         return mlr.LinearRegression(regParam=self.alpha * self.spread, elasticNetParam=0.0, standardization=False, solver="normal")
 
     def fit(self, df: DataFrame) -> Model:
-        # The library divides the penalty by the label's deviation.
-        self.spread = df.agg(F.stddev_samp(F.col("label").cast("double"))).head()[0] or 1.0
+        # The library divides the penalty by the label's deviation over all rows.
+        self.spread = df.agg(F.stddev_pop(F.col("label").cast("double"))).head()[0] or 1.0
         return super().fit(df)
 
 
@@ -208,19 +209,30 @@ class LogisticRegression(_LibraryClassifier):
         return mlc.LogisticRegression(maxIter=self.epochs, regParam=self.reg, standardization=False)
 
 
+#: The library's limit; no limit (None) means this one.
 _MOST_DEPTH = 30
+#: Names of the impurities that the library's trees offer, and their own names.
+_IMPURITY = {"gini": "gini", "entropy": "entropy", "log_loss": "entropy", "mse": "variance", "squared_error": "variance", "variance": "variance"}
 
 
-def _depth(d: int | None) -> int:
-    return min(d, _MOST_DEPTH) if d else 12
+class _Tree(_Library):
+    """Trees of the library, by quantile bins. ``weight_col`` names a column of row weights."""
 
+    impurities: tuple[str, ...] = ("gini", "entropy")
 
-class _Tree(_Library):
-    def __init__(self, max_depth: int | None = None, min_samples_leaf: int = 1, criterion: str = "gini", max_bins: int = 32, random_state: int = SEED):
+    def __init__(self, max_depth: int | None = None, min_samples_leaf: int = 1, criterion: str = "gini", max_bins: int = 32, random_state: int = SEED, min_samples_split: int = 2, weight_col: str | None = None):
         self.max_depth, self.min_samples_leaf, self.criterion, self.max_bins, self.random_state = max_depth, min_samples_leaf, criterion, max_bins, random_state
+        self.min_samples_split, self.weight_col = min_samples_split, weight_col
 
     def _args(self) -> dict:
-        return {"maxDepth": _depth(self.max_depth), "minInstancesPerNode": self.min_samples_leaf, "maxBins": self.max_bins, "seed": self.random_state}
+        if (kind := _IMPURITY.get(self.criterion)) not in self.impurities:
+            raise ValueError(f"criterion {self.criterion!r} is not offered here; best_stump has 'mae'")
+        if self.max_depth is not None and not 0 <= self.max_depth <= _MOST_DEPTH:
+            raise ValueError(f"max_depth is None or 0 to {_MOST_DEPTH}")
+        if self.min_samples_split > 2 * self.min_samples_leaf and self.min_samples_split > 2:
+            raise ValueError("min_samples_split beyond twice min_samples_leaf is not offered; raise min_samples_leaf")
+        args = {"maxDepth": _MOST_DEPTH if self.max_depth is None else self.max_depth, "minInstancesPerNode": self.min_samples_leaf, "maxBins": self.max_bins, "seed": self.random_state, "impurity": kind}
+        return args | ({"weightCol": self.weight_col} if self.weight_col else {})
 
     @property
     def depth(self) -> int:
@@ -239,22 +251,22 @@ class DecisionTreeClassifier(_Tree, _LibraryClassifier):
     reader = mlc.DecisionTreeClassificationModel
 
     def _estimator(self):
-        return mlc.DecisionTreeClassifier(impurity=self.criterion, **self._args())
+        return mlc.DecisionTreeClassifier(**self._args())
 
 
 class DecisionTreeRegressor(_Tree, _LibraryRegressor):
-    reader = mlr.DecisionTreeRegressionModel
+    reader, impurities = mlr.DecisionTreeRegressionModel, ("variance",)
 
-    def __init__(self, max_depth: int | None = None, min_samples_leaf: int = 1, criterion: str = "mse", max_bins: int = 32, random_state: int = SEED):
-        super().__init__(max_depth, min_samples_leaf, criterion, max_bins, random_state)
+    def __init__(self, max_depth: int | None = None, min_samples_leaf: int = 1, criterion: str = "mse", max_bins: int = 32, random_state: int = SEED, min_samples_split: int = 2, weight_col: str | None = None):
+        super().__init__(max_depth, min_samples_leaf, criterion, max_bins, random_state, min_samples_split, weight_col)
 
     def _estimator(self):
         return mlr.DecisionTreeRegressor(**self._args())
 
 
 class _Forest(_Tree):
-    def __init__(self, n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1, max_features: str | float = "sqrt", criterion: str = "gini", bootstrap: bool = True, max_samples: float | None = None, random_state: int = SEED):
-        super().__init__(max_depth, min_samples_leaf, criterion, 32, random_state)
+    def __init__(self, n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1, max_features: str | float = "sqrt", criterion: str = "gini", bootstrap: bool = True, max_samples: float | None = None, random_state: int = SEED, min_samples_split: int = 2, weight_col: str | None = None):
+        super().__init__(max_depth, min_samples_leaf, criterion, 32, random_state, min_samples_split, weight_col)
         self.n_estimators, self.max_features, self.bootstrap, self.max_samples = n_estimators, max_features, bootstrap, max_samples
 
     def _args(self) -> dict:
@@ -270,14 +282,14 @@ class RandomForestClassifier(_Forest, _LibraryClassifier):
     reader = mlc.RandomForestClassificationModel
 
     def _estimator(self):
-        return mlc.RandomForestClassifier(impurity=self.criterion, **self._args())
+        return mlc.RandomForestClassifier(**self._args())
 
 
 class RandomForestRegressor(_Forest, _LibraryRegressor):
-    reader = mlr.RandomForestRegressionModel
+    reader, impurities = mlr.RandomForestRegressionModel, ("variance",)
 
-    def __init__(self, n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1, max_features: str | float = 1.0, criterion: str = "squared_error", bootstrap: bool = True, max_samples: float | None = None, random_state: int = SEED):
-        super().__init__(n_estimators, max_depth, min_samples_leaf, max_features, criterion, bootstrap, max_samples, random_state)
+    def __init__(self, n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1, max_features: str | float = 1.0, criterion: str = "squared_error", bootstrap: bool = True, max_samples: float | None = None, random_state: int = SEED, min_samples_split: int = 2, weight_col: str | None = None):
+        super().__init__(n_estimators, max_depth, min_samples_leaf, max_features, criterion, bootstrap, max_samples, random_state, min_samples_split, weight_col)
 
     def _estimator(self):
         return mlr.RandomForestRegressor(**self._args())
@@ -376,10 +388,25 @@ def fourier(df: DataFrame, width: int, gamma: float, places: int = 64, seed: int
     return df.withColumn("features", array_to_vector(F.array(*waves)))
 
 
+def landmarks(df: DataFrame, most: int) -> list[list[float]]:
+    """At most ``most`` different points of ``features``, the smallest by a hash: a bounded sample."""
+    x = df.select(vector_to_array("features").alias("x")).distinct()
+    return [list(r["x"]) for r in x.orderBy(F.xxhash64("x"), "x").limit(most).collect()]
+
+
 class _Kernelled:
-    """A linear machine on explicit kernel features: none (linear), random Fourier (rbf, sigmoid), expansion (poly)."""
+    """A linear machine on explicit features of the kernel.
+
+    None for linear, random Fourier features for rbf. For poly and sigmoid, which has no such map, features are the
+    kernel's values at ``LANDMARKS`` points of the training rows (the empirical kernel map).
+    """
+
+    LANDMARKS = 64
+    points: list[list[float]] | None = None
 
     def _width(self, df: DataFrame) -> None:
+        if self.kernel not in ("linear", "rbf", "poly", "sigmoid"):
+            raise ValueError(f"unknown kernel {self.kernel!r}")
         x = vector_to_array("features")
         self.width = df.select(F.max(F.size(x))).head()[0] or 1
         if self.gamma == "scale":
@@ -387,22 +414,23 @@ class _Kernelled:
             self.gamma_ = 1 / (self.width * v) if v else 1.0
         else:
             self.gamma_ = 1 / self.width if self.gamma == "auto" else float(self.gamma)
+        self.points = landmarks(df, self.LANDMARKS) if self.kernel in ("poly", "sigmoid") else None
 
     def _mapped(self, df: DataFrame) -> DataFrame:
         if self.kernel == "linear":
             return df
-        if self.kernel == "poly":
-            from pyspark.ml.feature import PolynomialExpansion
-
-            return PolynomialExpansion(degree=min(self.degree, 3), inputCol="features", outputCol="_p").transform(df).drop("features").withColumnRenamed("_p", "features")
-        return fourier(df, self.width, self.gamma_)
+        if self.points is None:
+            return fourier(df, self.width, self.gamma_)
+        x = vector_to_array("features")
+        values = F.transform(F.lit(self.points), lambda p: kernel(x, p, self.kernel, self.gamma_, self.degree, self.coef0))
+        return df.withColumn("features", array_to_vector(values))
 
 
 class SVMClassifier(_Kernelled, Classifier):
     """One-against-rest linear hinge machines; the probability is the softmax of their margins."""
 
-    def __init__(self, C: float = 1.0, kernel: str = "rbf", gamma: str | float = "scale", degree: int = 3, epochs: int = 100):
-        self.C, self.kernel, self.gamma, self.degree, self.epochs = C, kernel, gamma, degree, epochs
+    def __init__(self, C: float = 1.0, kernel: str = "rbf", gamma: str | float = "scale", degree: int = 3, epochs: int = 100, coef0: float = 0.0):
+        self.C, self.kernel, self.gamma, self.degree, self.epochs, self.coef0 = C, kernel, gamma, degree, epochs, coef0
 
     def fit(self, df: DataFrame) -> Model:
         self._width(df)
@@ -427,17 +455,18 @@ class SVMClassifier(_Kernelled, Classifier):
     predict_proba = predict
 
     def state(self) -> dict:
-        return {"labels": self.labels, "weights": self.fitted, "width": self.width, "gamma_": self.gamma_}
+        return {"labels": self.labels, "weights": self.fitted, "width": self.width, "gamma_": self.gamma_, "points": self.points}
 
     def _load_parts(self, path: str, spark: SparkSession, state: dict) -> None:
         self.labels, self.fitted, self.width, self.gamma_ = state["labels"], state["weights"], state["width"], state["gamma_"]
+        self.points = state.get("points")
 
 
 class SVMRegressor(_Kernelled, Regressor):
     """Epsilon-insensitive loss, full-batch subgradients: one aggregation an epoch, averaged weights."""
 
-    def __init__(self, C: float = 1.0, epsilon: float = 0.1, kernel: str = "linear", gamma: str | float = "scale", degree: int = 3, epochs: int = 30, lr: float = 0.5):
-        self.C, self.epsilon, self.kernel, self.gamma, self.degree, self.epochs, self.lr = C, epsilon, kernel, gamma, degree, epochs, lr
+    def __init__(self, C: float = 1.0, epsilon: float = 0.1, kernel: str = "linear", gamma: str | float = "scale", degree: int = 3, epochs: int = 30, lr: float = 0.5, coef0: float = 0.0):
+        self.C, self.epsilon, self.kernel, self.gamma, self.degree, self.epochs, self.lr, self.coef0 = C, epsilon, kernel, gamma, degree, epochs, lr, coef0
 
     def fit(self, df: DataFrame) -> Model:
         self._width(df)
@@ -470,10 +499,10 @@ class SVMRegressor(_Kernelled, Regressor):
         return out.withColumn("features", F.col("_features")).drop("_features")
 
     def state(self) -> dict:
-        return {"fitted": self.fitted, "width": self.width, "gamma_": self.gamma_}
+        return {"fitted": self.fitted, "width": self.width, "gamma_": self.gamma_, "points": self.points}
 
     def _load_parts(self, path: str, spark: SparkSession, state: dict) -> None:
-        self.fitted, self.width, self.gamma_ = state["fitted"], state["width"], state["gamma_"]
+        self.fitted, self.width, self.gamma_, self.points = state["fitted"], state["width"], state["gamma_"], state.get("points")
 
 
 class _Neighbours(Model):
@@ -481,11 +510,11 @@ class _Neighbours(Model):
         self.n_neighbors, self.weights, self.metric = n_neighbors, weights, metric
 
     def fit(self, df: DataFrame) -> Model:
-        self.fitted = df.where("label IS NOT NULL").select("label", vector_to_array("features").alias("v")).withColumn("id", F.monotonically_increasing_id())
+        self.fitted = numbered(df.where("label IS NOT NULL").select("label", vector_to_array("features").alias("v")), "id")
         return self
 
     def _near(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        q = df.withColumn("_id", F.monotonically_increasing_id()).persist()
+        q = numbered(df, "_id")
         ids = q.select(F.col("_id").alias("id"), vector_to_array("features").alias("v"))
         # ties go by id: of rows at one point, only the first n_neighbors can be among a query's nearest
         w = Window.partitionBy("v").orderBy("id")
@@ -564,7 +593,7 @@ class DBSCAN(Clusterer):
     def fit(self, df: DataFrame) -> Model:
         x = vector_to_array("features")
         width = df.select(F.max(F.size(x))).head()[0] or 1
-        rows = df.select(F.monotonically_increasing_id().alias("id"), *(x[i].alias(f"x{i}") for i in range(width))).persist()
+        rows = numbered(df.select(*(x[i].alias(f"x{i}") for i in range(width))), "id")
         axes = [f"x{i}" for i in range(width)]
         self.labels_ = neighbours.dbscan(rows, "id", axes, self.eps, self.min_samples, self.metric)
         self.fitted = self.labels_.where("is_core").join(rows, "id").select("id", F.array(*axes).alias("v"), F.col("cluster").alias("label")).persist()
@@ -579,7 +608,7 @@ class DBSCAN(Clusterer):
         return self.labels_.where("cluster = -1").count()
 
     def predict(self, df: DataFrame) -> DataFrame:
-        q = df.withColumn("_id", F.monotonically_increasing_id()).persist()
+        q = numbered(df, "_id")
         near = neighbours.nearest(self._need(), q.select(F.col("_id").alias("id"), vector_to_array("features").alias("v")), 1, "id", "v", self.metric, "label")
         near = near.where(F.col("distance") <= self.eps).select("q_id", "label")
         return q.join(near.withColumnRenamed("label", "_c"), q["_id"] == F.col("q_id"), "left").withColumn("prediction", F.coalesce("_c", F.lit(-1))).drop("_id", "q_id", "_c")

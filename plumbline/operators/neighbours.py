@@ -104,6 +104,11 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a row number that stays: numbers are given by place, so they are written before they are joined on."""
+    return _checkpoint(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def dbscan(df: DataFrame, key: str, axes: list[str], eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean") -> DataFrame:
     """``id, is_core, cluster``: -1 is noise; clusters are numbered by their smallest core key, a border point
     belongs to the smallest cluster among its core neighbours.

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from plumbline.operators import models, split
 from plumbline.plans.plan import Plan, Preparer, RuleAdvisor, task_of
 
-#: Search spaces: (kind, low or choices, high, step).
+#: Search spaces as (kind, low or choices, high, step).
 _TREE = {"max_depth": ("int", 3, 30, 1), "min_samples_leaf": ("int", 1, 10, 1)}
 _FOREST = _TREE | {"n_estimators": ("int", 10, 50, 10), "max_samples": ("float", 0.5, 1.0)}
 _KNN = {"n_neighbors": ("int", 1, 50, 1), "weights": ("choice", ["uniform", "distance"]), "metric": ("choice", ["euclidean", "manhattan", "cosine"])}
 _BAG = {"n_estimators": ("int", 10, 100, 10), "max_samples": ("float", 0.5, 1.0), "max_features": ("float", 0.5, 1.0), "bootstrap": ("choice", [True, False])}
-_SVM = {"kernel": ("choice", ["linear", "rbf", "poly", "sigmoid"]), "C": ("log", 0.1, 100), "gamma": ("choice", ["scale", "auto"]), "degree": ("int", 2, 5, 1), "epochs": ("int", 100, 500, 50)}
+_SVM = {"kernel": ("choice", ["linear", "rbf", "poly", "sigmoid"]), "C": ("log", 0.1, 100), "gamma": ("choice", ["scale", "auto", 0.001, 0.01, 0.1, 1.0]), "degree": ("int", 2, 5, 1), "coef0": ("float", 0.0, 1.0), "epochs": ("int", 100, 500, 50)}
 SPACES: dict[str, dict] = {
     "LinearRegression": {"fit_intercept": ("choice", [True, False])},
     "Ridge": {"alpha": ("log", 0.001, 100), "epochs": ("int", 50, 500, 50)},

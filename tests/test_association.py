@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from plumbline.operators import association
 from plumbline.operators.association import Apriori, baskets, itemsets, list_baskets, rules
 
 COLUMNS = {"Milk": [1, 0, 1, 1, 0, 1, 1, 0], "Bread": [1, 1, 1, 1, 0, 0, 1, 1], "Butter": [1, 0, 1, 0, 0, 1, 1, 0], "Eggs": [0, 1, 1, 1, 1, 0, 1, 1], "Cheese": [0, 0, 1, 1, 0, 1, 0, 0]}
@@ -73,3 +74,20 @@ def test_against_brute_force(spark, rows, support):
 
 def test_empty(spark):
     assert itemsets(spark.createDataFrame([], "items array<string>")).count() == 0
+
+
+def test_rules_of_long_sets(spark):
+    items = [f"i{k:02d}" for k in range(21)]
+    sets = [(items, 4, 0.4)] + [([x], 5, 0.5) for x in items] + [([y for y in items if y != x], 4, 0.4) for x in items]
+    got = rules(spark.createDataFrame(sets, "items array<string>, freq long, support double"), 0.5, 1.0)
+    whole = got.where("size(antecedent) + size(consequent) = 21")
+    assert whole.count() == 42
+    assert {round(r["confidence"], 6) for r in whole.collect()} == {0.8, 1.0}
+
+
+@pytest.mark.parametrize("most", [0, 1_000])
+def test_itemsets_by_rows_and_by_growth(spark, monkeypatch, most):
+    monkeypatch.setattr(association, "FREQUENT_ITEMS", most)
+    rows = [(["a", "b", "c"],)] * 3 + [(["a", "b"],)] * 2 + [(["c", "d"],)] * 5
+    got = {(tuple(r["items"]), r["freq"]) for r in itemsets(spark.createDataFrame(rows, "items array<string>"), 0.3, 2).collect()}
+    assert got == {(("a",), 5), (("b",), 5), (("c",), 8), (("d",), 5), (("a", "b"), 5), (("a", "c"), 3), (("b", "c"), 3), (("c", "d"), 5)}

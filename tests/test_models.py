@@ -153,3 +153,19 @@ def test_stream_replays_fitted_stages(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     want = replay.replay(df, stages)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name,params", [("DecisionTreeRegressor", {"criterion": "mae"}), ("DecisionTreeClassifier", {"max_depth": 31}), ("DecisionTreeClassifier", {"min_samples_split": 9}), ("SVMClassifier", {"kernel": "other"})])
+def test_parameters_that_are_not_offered_raise(blobs, name, params):
+    with pytest.raises(ValueError):
+        models.REGISTRY[name](**params).fit(blobs)
+
+
+@pytest.mark.parametrize("params", [{"kernel": "sigmoid", "gamma": 0.05}, {"kernel": "poly", "degree": 2, "coef0": 1.0}, {"kernel": "poly", "degree": 5, "coef0": 1.0}])
+def test_kernels_differ_and_survive_saving(spark, blobs, tmp_path, params):
+    blobs = models.assemble(blobs, ["a", "b"], "name")
+    m = models.SVMClassifier(epochs=5, **params).fit(blobs)
+    assert len(m.fitted[0][0]) == len(m.points) <= 64
+    m.save(str(tmp_path / "m"), spark)
+    same = models.load(str(tmp_path / "m"), spark)
+    assert same.predict(blobs).select("prediction").collect() == m.predict(blobs).select("prediction").collect()
