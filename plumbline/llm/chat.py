@@ -3,15 +3,18 @@
 An event has ``conv_id, msg (long), seq (long), event, role, text``; ``event`` is one of
 
 * ``message``     a turn with its text; rows with the same (conv_id, msg) are turns of their own, by seq
-* ``delta``       text streamed onto the turn(s) of ``msg``
+* ``delta``       text streamed onto the turn(s) of ``msg``; one that arrives twice (equal in all columns) counts once
 * ``edit``        replaces what ``msg`` said so far (deltas after it count on)
 * ``regenerate``  like edit, and removes what later messages said before it (events of smaller seq)
 
+A log may have a column ``copy`` (long) that tells apart messages which share ``msg``; without it they share their changes.
+
 ``fold_events`` gives the final turns, ``format_turns`` renders them and ``parse_segments`` reads them back.
 
 Skew: a conversation is never gathered before it is rendered. Its turns are grouped by blocks of
 ``SEGMENT_TURNS`` message numbers, with partial aggregation before the shuffle, and the formatted output is
-one row per block: a conversation is the concatenation of its segments.
+one row per block: a conversation is the concatenation of its segments. What a regeneration removes is found by running
+maxima in blocks of messages, in blocks of these blocks, and over what is left of a conversation then.
 
 Defined results: null text, role and event count as empty text, empty role and ``message``; a null ``msg`` or
 ``seq`` sorts first; ties are ordered by seq, role, text and repeated rows stay as repeated turns; an empty log gives
@@ -20,10 +23,12 @@ no rows; further columns are ignored; text of any length is kept whole.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEGMENT_TURNS = 64
+#: Of the log made of a finished conversation: deltas of a text, seq numbers a turn, the largest turn that has such.
+PIECES, EVENTS, FAR = 3, 16, 1 << 50
 TURN, END = "<|turn|>", "<|end|>\n"
 LOSS_ROLES = ("assistant",)
 #: Control strings that are broken up inside texts, each by escaping its first character.
@@ -58,6 +63,7 @@ def _clean(events: DataFrame) -> DataFrame:
     return events.select(
         "conv_id",
         F.coalesce(F.col("msg").cast("long"), F.lit(_FIRST)).alias("msg"),
+        (F.coalesce("copy", F.lit(0)) if "copy" in events.columns else F.lit(0)).cast("long").alias("copy"),
         F.coalesce(F.col("seq").cast("long"), F.lit(_FIRST)).alias("seq"),
         F.coalesce("event", F.lit("message")).alias("event"),
         F.coalesce("role", F.lit("")).alias("role"),
@@ -69,44 +75,53 @@ def _joined(texts: Column) -> Column:
     return F.array_join(texts, "")
 
 
+def _removed(e: DataFrame) -> DataFrame:
+    """``conv_id, msg, cut``: the largest seq of a regeneration of an earlier message, where there is one."""
+    up = lambda c: F.floor(F.col(c) / SEGMENT_TURNS)
+    msgs = e.groupBy("conv_id", "msg").agg(F.max(F.when(F.col("event") == "regenerate", F.col("seq"))).alias("cut")).withColumn("block", up("msg"))
+    blocks = msgs.groupBy("conv_id", "block").agg(F.max("cut").alias("cut")).withColumn("area", F.floor(F.col("block") / 1024))
+    areas = blocks.groupBy("conv_id", "area").agg(F.max("cut").alias("cut"))
+    before = lambda by, order: F.max("cut").over(Window.partitionBy("conv_id", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    a = areas.select("conv_id", "area", before([], "area").alias("far")).alias("a")
+    b = blocks.select("conv_id", "block", "area", before(["area"], "block").alias("near")).alias("b")
+    m = msgs.select("conv_id", "msg", "block", before(["block"], "msg").alias("here")).alias("m")
+    b = b.join(a, _same("a", "b") & (F.col("a.area") == F.col("b.area"))).select("b.conv_id", "b.block", F.greatest("near", "far").alias("cut")).alias("b")
+    out = m.join(b, _same("m", "b") & (F.col("m.block") == F.col("b.block")))
+    return out.select("m.conv_id", "m.msg", F.greatest("m.here", "b.cut").alias("cut")).where("cut IS NOT NULL")
+
+
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Final turns ``conv_id, msg, seq, role, text`` of an event log."""
     e = _clean(events)
-    block = F.floor(F.col("msg") / SEGMENT_TURNS)
-    # What a regenerate of an earlier message removes: the largest such seq before each message, first over whole
-    # blocks of messages and then inside a block, so that no window spans a conversation.
-    cut = e.where("event = 'regenerate'").groupBy("conv_id", "msg").agg(F.max("seq").alias("cut"))
-    blocks = cut.groupBy("conv_id", block.alias("cut_block")).agg(F.max("cut").alias("cut"))
-    there = e.select("conv_id", "msg", block.alias("block")).distinct()
-    same = lambda a, b: F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
-    far = there.alias("m").join(blocks.alias("c"), same("m", "c") & (F.col("c.cut_block") < F.col("m.block"))).select("m.conv_id", "m.msg", "c.cut")
-    near = there.alias("m").join(cut.withColumn("cut_block", block).alias("c"), same("m", "c") & (F.col("c.cut_block") == F.col("m.block")) & (F.col("c.msg") < F.col("m.msg"))).select("m.conv_id", "m.msg", "c.cut")
-    removed = far.unionByName(near).groupBy("conv_id", "msg").agg(F.max("cut").alias("cut"))
     live = (
         e.alias("e")
-        .join(removed.alias("r"), same("e", "r") & (F.col("e.msg") == F.col("r.msg")), "left")
+        .join(_removed(e).alias("r"), _same("e", "r") & (F.col("e.msg") == F.col("r.msg")), "left")
         .where("r.cut IS NULL OR e.seq > r.cut")
         .select("e.*")
     )
     # Revisions of a message: its last replacement, and the deltas after it joined block by block.
+    key = ["conv_id", "msg", "copy"]
+    equal = lambda a, b: _same(a, b) & (F.col(f"{a}.msg") == F.col(f"{b}.msg")) & (F.col(f"{a}.copy") == F.col(f"{b}.copy"))
     revised = live.where("event <> 'message'")
-    reset = revised.where("event <> 'delta'").groupBy("conv_id", "msg").agg(F.max(F.struct("seq", "role", "text")).alias("reset"))
+    reset = revised.where("event <> 'delta'").groupBy(*key).agg(F.max(F.struct("seq", "role", "text")).alias("reset"))
     deltas = (
         revised.where("event = 'delta'")
         .alias("d")
-        .join(reset.alias("r"), same("d", "r") & (F.col("d.msg") == F.col("r.msg")), "left")
-        .where("r.reset IS NULL OR d.seq > r.reset.seq")
-        .groupBy("d.conv_id", "d.msg", F.floor(F.col("d.seq") / 1024).alias("at"))
-        .agg(F.sort_array(F.collect_list(F.struct("d.seq", "d.role", "d.text"))).alias("x"))
-        .groupBy("conv_id", "msg")
+        .join(reset.select(*key, F.col("reset.seq").alias("since")).alias("r"), equal("d", "r"), "left")
+        .where("r.since IS NULL OR d.seq > r.since")
+        .groupBy("d.conv_id", "d.msg", "d.copy", F.floor(F.col("d.seq") / 1024).alias("at"))
+        .agg(F.sort_array(F.collect_set(F.struct("d.seq", "d.role", "d.text"))).alias("x"))
+        .groupBy(*key)
         .agg(F.sort_array(F.collect_list(F.struct("at", _joined(F.col("x.text")).alias("text"), F.col("x")[0].alias("head")))).alias("x"))
-        .select("conv_id", "msg", _joined(F.col("x.text")).alias("tail"), F.col("x")[0]["head"].alias("head"))
-    )
-    changes = reset.alias("r").join(deltas.alias("d"), same("r", "d") & (F.col("r.msg") == F.col("d.msg")), "full").select(
-        F.coalesce("r.conv_id", "d.conv_id").alias("conv_id"), F.coalesce("r.msg", "d.msg").alias("msg"), "reset", "tail", "head"
+        .select(*key, _joined(F.col("x.text")).alias("tail"), F.col("x")[0]["head"].alias("head"))
     )
+    changes = reset.alias("r").join(deltas.alias("d"), equal("r", "d"), "full").select(*(F.coalesce(f"r.{c}", f"d.{c}").alias(c) for c in key), "reset", "tail", "head")
     messages = live.where("event = 'message'")
-    return messages.alias("m").join(changes.alias("c"), same("m", "c") & (F.col("m.msg") == F.col("c.msg")), "full").select(
+    return messages.alias("m").join(changes.alias("c"), equal("m", "c"), "full").select(
         F.coalesce("m.conv_id", "c.conv_id").alias("conv_id"),
         F.coalesce("m.msg", "c.msg").alias("msg"),
         F.coalesce("m.seq", "c.reset.seq", "c.head.seq").alias("seq"),
@@ -172,8 +187,23 @@ def parse_segments(segments: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Each row of ``conversations`` as one ``message`` event."""
-    return conversations.select("conv_id", F.col("turn").alias("msg"), F.col("turn").alias("seq"), F.lit("message").alias("event"), "role", "text")
+    """Each row of ``conversations`` as the log that would lead to it, so that its text comes out of the fold.
+
+    What a loss role says is streamed as a draft, regenerated and streamed anew in ``PIECES`` deltas; others send a
+    draft, edit it to the first part of the text and add the rest. Rows of one turn are told apart by what they say, so
+    that equal rows are one log that arrives several times. Turns that are null or beyond ``FAR`` stay plain messages.
+    """
+    text, turn = F.coalesce("text", F.lit("")), F.col("turn").cast("long")
+    step = F.ceil(F.length(text) / PIECES).cast("int")
+    piece = lambda i, k: F.substr(text, step * i + 1, k)
+    event = lambda i, kind, said: F.struct((turn * EVENTS + i).alias("seq"), F.lit(kind).alias("event"), said.alias("text"))
+    streamed = [event(0, "message", F.lit("")), event(1, "delta", piece(PIECES - 1, step)), event(2, "regenerate", F.lit(""))]
+    streamed += [event(3 + i, "delta", piece(i, step)) for i in range(PIECES)]
+    sent = [event(0, "message", F.concat(F.lit("draft "), piece(0, step))), event(1, "edit", piece(0, step)), event(2, "delta", piece(1, F.length(text)))]
+    plain = [F.struct(turn.alias("seq"), F.lit("message").alias("event"), text.alias("text"))]
+    log = F.when(turn.isNull() | (F.abs(turn) > FAR), F.array(*plain)).when(F.col("role").isin(*LOSS_ROLES), F.array(*streamed)).otherwise(F.array(*sent))
+    copy = F.xxhash64(F.coalesce("role", F.lit("")), text)
+    return conversations.select("conv_id", turn.alias("msg"), copy.alias("copy"), "role", F.explode(log).alias("e")).select("conv_id", "msg", "copy", "e.seq", "e.event", "role", "e.text")
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
