@@ -1,14 +1,16 @@
 """Main text of HTML pages by two passes of block rules.
 
-Pass one classifies every text block by its stop-word density, length and link density, after what the markup says
-outright: blocks inside menus, footers, sidebars, notices, adverts, forms or comments are bad, and where a page
-has an article, so is what stands outside it; blocks of an article with few links are good. Pass two gives
-ambiguous short blocks the label of their nearest neighbours that the text decided (what markup marks ends where
-the markup ends); without any they are kept.
+Pass one classifies every text block by its stop-word density, length and link density: long blocks of many function
+words and few links are good, blocks of links are bad, the rest is ambiguous (near or short). Markup is a prior: what
+stands in menus, footers, sidebars, notices, adverts, forms or comments, or outside the article of a page that has one,
+can't be good, however much it reads like an article, and inside an article few function words alone make nothing bad.
+Pass two gives ambiguous blocks the label of their nearest decided neighbours of the same prior (what markup marks ends
+where the markup ends); the prior speaks only where none is decided.
 
 Defined results: a null or empty page has an empty text; null urls stay null; repeated rows are kept; an empty table
 gives no rows; further columns are ignored; broken markup (unclosed or stray tags, cut pages) never fails; pages
-are read whole, so memory is bounded by the longest page.
+are read whole, so memory is bounded by the longest page; of two equally near neighbours that differ, the good one
+counts.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +72,7 @@ class Block:
     boiler: bool
     inside: bool
     label: str = ""
-    words: list[str] = field(default_factory=list)
+    prior: int = 0
 
 
 def _names(attrs: str) -> tuple[bool, bool, bool, bool]:
@@ -176,59 +178,63 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def by_density(b: Block) -> str:
+    """good, bad, near (nearly good) or short, by length, link density and stop-word density alone."""
+    links, n = b.linked / len(b.text), len(b.text)
+    if links > MAX_LINK_DENSITY:
+        return "bad" if links > 2 * MAX_LINK_DENSITY or n < SHORT else "short"
+    if n < SHORT:
+        return "bad" if b.linked else "short"
+    words = _WORD.findall(b.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if stops < STOP_LOW:
+        return "bad"
+    return "good" if stops >= STOP_HIGH and n > LONG else "near"
+
+
 def classify(found: list[Block]) -> None:
-    """Pass one: labels good, bad, near (nearly good) or short."""
+    """Pass one: labels by density under the prior of the markup."""
     article = any(b.inside and not b.boiler for b in found)
     for b in found:
-        density = b.linked / len(b.text)
-        if b.boiler or article and not b.inside:
-            b.label = "bad"
-        elif density > MAX_LINK_DENSITY:
-            b.label = "bad" if density > 2 * MAX_LINK_DENSITY and not (b.inside and len(b.text) < SHORT) else "short"
-        elif b.inside:
-            b.label = "good" if len(b.text) >= SHORT or not b.linked else "short"
-        else:
-            words = _WORD.findall(b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        b.prior = -1 if b.boiler or article and not b.inside else int(b.inside)
+        b.label = by_density(b)
+        if b.prior < 0 and b.label == "good":
+            b.label = "near"
+        elif b.prior > 0 and b.label == "bad":
             if len(b.text) < SHORT:
-                b.label = "bad" if b.linked else "short"
-            elif stops >= STOP_HIGH:
-                b.label = "good" if len(b.text) > LONG else "near"
-            else:
-                b.label = "near" if stops >= STOP_LOW else "bad"
+                b.label = "short"
+            elif b.linked <= MAX_LINK_DENSITY * len(b.text):
+                b.label = "near"
 
 
 def inherit(found: list[Block]) -> None:
-    """Pass two: ambiguous blocks take the label of the nearest decided neighbours; headings go with what follows."""
+    """Pass two: ambiguous blocks take the label of the nearest decided neighbours of their prior; headings go with what
+    follows. Near blocks need one good neighbour, or the markup's word."""
     labels = [b.label for b in found]
     n = len(labels)
-    before: list[int | None] = []
-    last = None
-    for i in range(n):
-        before.append(last)
-        if labels[i] in ("good", "bad") and not found[i].boiler:
-            last = i
-    after: list[int | None] = [None] * n
-    last = None
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        if labels[i] in ("good", "bad") and not found[i].boiler:
-            last = i
+    sides: list[list[int]] = [[] for _ in range(n)]  # the nearest decided before and after
+    for order in (range(n), range(n - 1, -1, -1)):
+        last: dict[int, int] = {}
+        for i in order:
+            if (at := last.get(found[i].prior)) is not None:
+                sides[i].append(at)
+            if labels[i] in ("good", "bad"):
+                last[found[i].prior] = i
     for i, b in enumerate(found):
         if labels[i] in ("good", "bad"):
             continue
-        p, q = before[i], after[i]
-        sides = [labels[j] for j in (p, q) if j is not None]
-        if not sides:
-            b.label = "good"
-        elif len(set(sides)) == 1:
-            b.label = sides[0]
+        said = [labels[j] for j in sides[i]]
+        if not said or labels[i] == "near" and b.prior > 0:
+            b.label = "good" if b.prior >= 0 else "bad"
+        elif len(set(said)) == 1:
+            b.label = said[0]
         elif labels[i] == "near":
             b.label = "good"
         elif b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-            b.label = labels[q]
+            b.label = said[1]
         else:
-            b.label = labels[p] if i - p < q - i else labels[q] if q - i < i - p else "good"
+            before, after = i - sides[i][0], sides[i][1] - i
+            b.label = said[0] if before < after else said[1] if after < before else "good"
 
 
 def main_text(page: str | None) -> str:
