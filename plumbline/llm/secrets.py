@@ -1,17 +1,20 @@
 """Secret scans with linking of credentials that come in parts.
 
-Base kinds (``assign``, ``access``, ``hex``) are reported wherever they stand. Two more kinds are too weak to be
-reported alone: ``secret`` (40 characters of base 64 that look random) and ``endpoint`` (a URL or a cloud host).
-Every access identifier opens a scope of ``SCOPE`` characters around it; an interval join (sorted starts, bisection)
-finds what stands wholly inside. A weak secret is reported if it shares a scope with an access identifier, an endpoint if
-it shares one that holds a secret or an assignment too.
+Base kinds (``assign``, ``access``, ``hex``) are reported wherever they stand. Three more kinds are too weak to be
+reported alone: ``identifier`` (a named client, account, user or key id), ``secret`` (40 characters of base 64 that look
+random) and ``endpoint`` (a URL or a cloud host). Every access identifier and every named one opens a scope of ``SCOPE``
+characters around it; an interval join (sorted starts, bisection) finds what stands wholly inside. A weak secret is
+reported if it shares a scope with an identifier of either sort; a named identifier if its scope holds a secret, an
+assignment or a hexadecimal key; an endpoint if it shares a scope with such a complete pair. Candidates are found in
+the whole text, so that no edge of a scope cuts them.
 
 Texts that can't match are told apart by one linear-time pass over the Arrow batch; the others are scanned whole.
 Nothing is shuffled; memory is bounded by a batch and the longest text.
 
 Defined results: null text counts as empty; a text without matches has zero counts, empty ``spans`` and the digest
 of an empty string; repeated rows are kept; an empty table gives no rows; further columns are kept by ``redact`` and
-ignored by ``scan``; positions are code points, ends exclusive.
+ignored by ``scan``; positions are code points, ends exclusive; spans that start together stand in the order of ``KINDS``;
+overlapping scopes report a candidate once.
 """
 
 from __future__ import annotations
@@ -32,14 +35,15 @@ from plumbline.llm.common import small_batches, table
 
 SCOPE = 400
 MIN_ENTROPY = 3.6
-KINDS = ("assign", "access", "hex", "secret", "endpoint")
+KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 #: The base patterns and the least length of what they must find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{32,}")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 _SECRET = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])")
 _ENDPOINT = re.compile(r"https?://[^\s\"'<>`,;]+|(?<![\w.-])[a-z0-9][a-z0-9.-]*\.amazonaws\.com(?![\w-])")
-_MAYBE = r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{8}|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"""
+IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:client|account|user|tenant|app|access[_-]?key|key)[_-]?(?:id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.I | re.A)
+_MAYBE = r"""(?i:client|account|user|tenant|app|key)[_-]?(?i:id|name)["']? *[:=]|(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]{8}|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"""
 
 Span = tuple[int, int, int]  # start, place in KINDS, end
 
@@ -60,36 +64,33 @@ def _random_looking(s: str) -> bool:
 def linked_spans(text: str, base: list[Span], scope: int = SCOPE) -> list[Span]:
     """Weak candidates whose complementary parts share a scope."""
     access = [(a, b) for a, k, b in base if k == 1]
-    if not access:
+    named = [(m.start(), m.end()) for m in IDENTIFIER.finditer(text)]
+    if not access and not named:
         return []
-    # Scopes that overlap may be scanned together, but link only through one access identifier.
-    regions: list[list[int]] = []
-    for a, b in access:
-        if regions and a - scope <= regions[-1][1]:
-            regions[-1][1] = max(regions[-1][1], b + scope)
-        else:
-            regions.append([max(0, a - scope), b + scope])
-    secrets, endpoints = [], []
-    for a, b in regions:
-        secrets += [(m.start(), m.end()) for m in _SECRET.finditer(text, a, min(b, len(text))) if _random_looking(m[0])]
-        endpoints += [(m.start(), m.end()) for m in _ENDPOINT.finditer(text, a, min(b, len(text)))]
-    assigns = [(a, b) for a, k, b in base if k == 0]
+    secrets = [(m.start(), m.end()) for m in _SECRET.finditer(text) if _random_looking(m[0])]
+    endpoints = [(m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
+    strong = [(a, b) for a, k, b in base if k in (0, 2)]
 
     def inside(spans: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
+        """Spans in the scope of (a, b) that don't overlap it."""
         at = bisect_left(spans, (a - scope, 0))
         found = []
         while at < len(spans) and spans[at][0] <= b + scope:
-            if spans[at][1] <= b + scope:
+            s, e = spans[at]
+            if e <= b + scope and (e <= a or s >= b):
                 found.append(spans[at])
             at += 1
         return found
 
     out = set()
-    for a, b in access:
-        near = [s for s in inside(secrets, a, b) if s[1] <= a or s[0] >= b]
-        out.update((s, 3, e) for s, e in near)
-        if near or inside(assigns, a, b):
-            out.update((s, 4, e) for s, e in inside(endpoints, a, b))
+    for kind, anchors in ((1, access), (3, named)):
+        for a, b in anchors:
+            near = inside(secrets, a, b)
+            out.update((s, 4, e) for s, e in near)
+            if near or inside(strong, a, b):
+                out.update((s, 5, e) for s, e in inside(endpoints, a, b))
+                if kind == 3:
+                    out.add((a, 3, b))
     return sorted(out)
 
 
@@ -124,11 +125,13 @@ def scan(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def redacted(text: str, spans: list[Span]) -> str:
-    """``text`` with every stretch that spans cover replaced by ``[secret]``; of an assignment only the value goes."""
+    """``text`` with every stretch that spans cover replaced by ``[secret]``; of an assignment and a named identifier only the value goes."""
     out, at = [], 0
     for a, k, b in spans:
         if k == 0 and (m := ASSIGN.match(text, a)):
             a = m.start(2)
+        elif k == 3 and (m := IDENTIFIER.match(text, a)):
+            a = m.start(1)
         if b <= at:
             continue
         if a >= at:
