@@ -6,7 +6,8 @@ and compares bytes inside equal buckets; texts that collide come to classes of t
 alike 1.0 if they are equal and the canonical bytes are, else 0.0.
 
 Defined results: null text counts as empty (a fingerprint of its own); a null doc_id stands after all others in
-descending order; ties of doc_id are ordered by text; repeated rows are kept; an empty table gives no rows; further
+descending order; ties of doc_id are ordered by a hash of the text and then by text, whatever the partitions; repeated
+rows are kept; an empty table gives no rows; further
 columns are ignored; texts are read whole.
 """
 
@@ -21,9 +22,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table, written
+from plumbline.llm.common import erase, small_batches, table, written
 
 _PARTS = 1 << 20
+#: Fingerprints of buckets (32 characters each) that are broadcast at most.
+BROADCAST_BUCKETS = 500_000
 
 
 def canonical(text: str | None) -> bytes:
@@ -55,39 +58,48 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", keep_form: bool = False)
                 cols, names = [*cols, pa.array(forms, pa.binary())], [*names, "form"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, fingerprint string" + ", form binary" * keep_form)
+    return small_batches(docs.select(key, "text")).mapInArrow(run, f"`{key}` {kind}, fingerprint string" + ", form binary" * keep_form)
 
 
 def equal_classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key, fingerprint, class_id``: the smallest key with the same canonical bytes.
+    """``key, fingerprint, class_id, collision``: the smallest key with the same canonical bytes.
 
-    Counting pre-aggregates before its shuffle; only rows of buckets with two rows or more are compared, each with its
-    bucket's first text by an equi-join that adaptive execution can split. Rows that differ (a collision) go
-    round again among themselves.
+    ``collision`` numbers the classes of one fingerprint, 0 for the first. Fingerprints alone are counted, with partial
+    aggregation before the shuffle; canonical bytes are made only for buckets of two rows or more, each compared with
+    its bucket's first text by an equi-join that adaptive execution can split. Rows that differ go round again among
+    themselves.
     """
-    rest, out = fingerprints(docs, key, keep_form=True), None
-    while True:
-        first = rest.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min(key).alias("class_id"))
-        alone = rest.join(first.where("n = 1"), "fingerprint", "left_semi").select(key, "fingerprint", F.col(key).alias("class_id"))
-        bucket = rest.join(first.where("n > 1").select("fingerprint", "class_id"), "fingerprint")
-        head = bucket.where(F.col(key).eqNullSafe(F.col("class_id"))).groupBy("fingerprint").agg(F.min("form").alias("head"))
-        same = written(bucket.join(head, "fingerprint").withColumn("same", F.col("form") == F.col("head")), "fingerprint-buckets")
-        found = alone.unionByName(same.where("same").select(key, "fingerprint", "class_id"))
-        out = found if out is None else out.unionByName(found)
-        rest = same.where("NOT same").select(key, "fingerprint", "form")
+    prints = written(fingerprints(docs, key), "fingerprints")
+    counted = prints.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    several = written(counted.where("n > 1").select("fingerprint"), "buckets")
+    few = F.broadcast(several) if several.count() <= BROADCAST_BUCKETS else several
+    out = prints.join(few, "fingerprint", "left_anti").select(key, "fingerprint", F.col(key).alias("class_id"), F.lit(0).alias("collision"))
+    rest = written(fingerprints(docs, key, keep_form=True).join(few, "fingerprint", "left_semi").select(key, "fingerprint", "form"), "bucket-rows")
+    collision = 0
+    while not rest.isEmpty():
+        least = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "form")).alias("least")
+        head = rest.groupBy("fingerprint").agg(least).select("fingerprint", F.col("least.form").alias("head"), F.col("least.key").alias("class_id"))
+        compared = rest.join(written(head, "bucket-heads"), "fingerprint")
+        same = written(compared.select(key, "fingerprint", "class_id", (F.col("form") == F.col("head")).alias("same"), F.when(F.col("form") != F.col("head"), F.col("form")).alias("form")), "compared")
+        out = out.unionByName(same.where("same").select(key, "fingerprint", "class_id", F.lit(collision).alias("collision")))
+        erase(rest)
+        rest, collision = same.where("NOT same").select(key, "fingerprint", "form"), collision + 1
         if rest.isEmpty():
-            return out
+            break
+        rest = written(rest, "bucket-rows")
+    return out
 
 
 def _buckets(docs: DataFrame, n: int) -> tuple[Column, Column]:
     """(bucket, tie) columns: about n ranges of descending doc_id; an id that fills several is cut by a hash of its text."""
     down = F.bitwise_not(F.col("doc_id"))
-    cuts = docs.select(down.alias("d")).agg(F.percentile_approx("d", F.array(*(F.lit(i / n) for i in range(1, n))), 20 * n)).head()[0] if n > 1 else []
+    shares = F.array(*(F.lit(i / n) for i in range(1, n)))
+    cuts, rows, none = docs.select(down.alias("d")).agg(F.percentile_approx("d", shares, 20 * n) if n > 1 else F.lit(None), F.count("*"), F.count_if(F.col("d").isNull())).head()
     cuts = sorted(cuts or [])
     bounds = sorted(set(cuts))
     hot = {c: cuts.count(c) for c in bounds if cuts.count(c) > 1}
-    tie = F.pmod(F.xxhash64("text"), F.lit(_PARTS)) if hot else F.lit(0).cast("long")
-    at = F.lit(0)
+    tie = F.pmod(F.xxhash64("text"), F.lit(_PARTS))
+
     # A balanced tree of comparisons: as many as the logarithm of the bounds.
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -96,7 +108,7 @@ def _buckets(docs: DataFrame, n: int) -> tuple[Column, Column]:
         return F.when(down <= F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
     at = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(tree(0, len(bounds)))
-    share = F.lit(0)
+    share = F.when(F.col("doc_id").isNull(), F.floor(tie * max(1, none * n // max(1, rows)) / _PARTS)).otherwise(0)
     for c, m in hot.items():
         share = F.when(down == F.lit(c), F.floor(tie * m / _PARTS)).otherwise(share)
     return (at * n + share).cast("long"), tie
@@ -168,4 +180,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
             types = [b.column(2).type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return with_next(docs).mapInArrow(run, f"doc_id {kind.simpleString()}, {_EDITED}")
+    rows = small_batches(with_next(docs)).mapInArrow(run, f"doc_id {kind.simpleString()}, {_EDITED}")
+    # Equal fingerprints are looked at byte by byte: another text's class gets a suffix of its own.
+    classes = equal_classes(docs).groupBy("doc_id", "fingerprint").agg(F.min("class_id").alias("class_id"), F.min("collision").alias("collision"))
+    r, c = rows.alias("r"), written(classes, "classes").alias("c")
+    out = r.join(c, F.col("r.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("r.fingerprint") == F.col("c.fingerprint")), "left")
+    named = F.when(F.col("collision") > 0, F.concat_ws("-", "r.fingerprint", "collision")).otherwise(F.col("r.fingerprint"))
+    return out.select("r.doc_id", "n_chars", "edited_sha256", named.alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "class_id")
