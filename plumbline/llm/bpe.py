@@ -9,11 +9,13 @@ hypothesis always stands between tokens, the others inside one: lookahead is bou
 still open. Transitions are kept in a table that is dropped when it exceeds ``MAX_TRANSITIONS``.
 
 Decoding. ``Utf8Stream`` takes ids bit by bit and is an incremental UTF-8 state machine: bytes of an unfinished
-character wait for the next token, malformed bytes become U+FFFD.
+character wait for the next token, malformed bytes become U+FFFD. ``Decoder`` runs the same machine over whole texts, with
+a table of what each token does to its state.
 
 Defined results for ``encode_documents``: null text counts as empty and gives no ids; rows are kept as they are,
 repeats included; an empty table gives no rows; further columns are ignored; long texts are encoded whole (a
-text is one row, so memory is bounded by the longest text).
+text is one row, so memory is bounded by the longest text); a null or repeated key is passed on as it is, and columns
+of the input named like the result's play no part, as no rows meet there are no ties.
 """
 
 from __future__ import annotations
@@ -216,8 +218,29 @@ class Utf8Stream:
         return left
 
 
+#: States of the UTF-8 machine: between characters, 1 to 3 bytes to come, after E0, ED, F0 and F4, malformed.
+_BETWEEN, _ONE, _TWO, _THREE, _E0, _ED, _F0, _F4, _BAD = range(9)
+
+
+def _byte_table() -> np.ndarray:
+    """The machine's next state by state and byte."""
+    t = np.full((9, 256), _BAD, np.int8)
+    t[_BETWEEN, :0x80] = _BETWEEN
+    t[_BETWEEN, 0xC2:0xE0], t[_BETWEEN, 0xE0:0xF0], t[_BETWEEN, 0xF0:0xF5] = _ONE, _TWO, _THREE
+    for byte, state in ((0xE0, _E0), (0xED, _ED), (0xF0, _F0), (0xF4, _F4)):
+        t[_BETWEEN, byte] = state
+    for state, low, high, to in ((_ONE, 0x80, 0xC0, _BETWEEN), (_TWO, 0x80, 0xC0, _ONE), (_THREE, 0x80, 0xC0, _TWO), (_E0, 0xA0, 0xC0, _ONE), (_ED, 0x80, 0xA0, _ONE), (_F0, 0x90, 0xC0, _TWO), (_F4, 0x80, 0x90, _TWO)):
+        t[state, low:high] = to
+    return t
+
+
 class Decoder:
-    """Bytes of the decoded text of many ids: whole-character tokens are gathered, the others go through the stream."""
+    """Bytes of the decoded text of many ids, by the UTF-8 machine folded over tokens.
+
+    ``moves[state, id]`` is the state after all bytes of a token. The machine runs over all ids; from between characters
+    tokens of whole characters leave it there, so that it takes a run of them at one step. Where it ends between
+    characters without a malformed byte, the bytes are the text; else ``Utf8Stream`` writes the replacements.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens = [b""] * (max(ranks.values()) + 1)
@@ -226,15 +249,11 @@ class Decoder:
         self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.counts = np.array([len(t) for t in self.tokens], np.int64)
         self.starts = np.cumsum(self.counts) - self.counts
-        self.closed = np.array([self._whole(t) for t in self.tokens])
-
-    @staticmethod
-    def _whole(t: bytes) -> bool:
-        try:
-            t.decode()
-        except UnicodeDecodeError:
-            return False
-        return True
+        table = _byte_table()
+        self.moves = np.repeat(np.arange(9, dtype=np.int8)[:, None], len(self.tokens), 1)
+        for at in range(int(self.counts.max(initial=0))):
+            longer = np.flatnonzero(self.counts > at)
+            self.moves[:, longer] = table[self.moves[:, longer], self.flat[self.starts[longer] + at]]
 
     def _gather(self, ids: np.ndarray) -> bytes:
         if not len(ids):
@@ -243,16 +262,26 @@ class Decoder:
         ends = np.cumsum(counts)
         return self.flat[np.repeat(self.starts[ids] - ends + counts, counts) + np.arange(ends[-1])].tobytes()
 
+    def run(self, ids: np.ndarray) -> int:
+        """The machine's state after all ids."""
+        moves, at, state = self.moves, 0, _BETWEEN
+        for leaves in np.flatnonzero(moves[_BETWEEN][ids] != _BETWEEN).tolist():
+            if leaves < at:
+                continue
+            at = leaves
+            while at < len(ids):
+                state, at = moves[state, ids[at]], at + 1
+                if state in (_BETWEEN, _BAD):
+                    break
+            if state != _BETWEEN:
+                break
+        return int(state)
+
     def decode(self, ids: np.ndarray) -> bytes:
-        open_at = np.flatnonzero(~self.closed[ids])
-        if not len(open_at):
+        if self.run(ids) == _BETWEEN:
             return self._gather(ids)
-        out, at, stream = [], 0, Utf8Stream(self.tokens)
-        for run in np.split(open_at, np.flatnonzero(np.diff(open_at) > 1) + 1):
-            a, b = int(run[0]), int(run[-1]) + 1
-            out += [self._gather(ids[at:a]), (stream.feed(ids[a:b].tolist()) + stream.close()).encode()]
-            at = b
-        return b"".join([*out, self._gather(ids[at:])])
+        stream = Utf8Stream(self.tokens)
+        return (stream.feed(ids.tolist()) + stream.close()).encode()
 
 
 class Encoder:
