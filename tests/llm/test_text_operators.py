@@ -45,6 +45,36 @@ def test_chat_many_segments_and_empty(spark):
     assert chat.format_conversations(chat.conversation_events(df.limit(0))).count() == 0
 
 
+def test_chat_log_of_finished_conversations(spark):
+    rows = [(1, 0, "user", "hi\n😀"), (1, 1, "assistant", "abcdefg"), (1, 1, "assistant", "abcdefg"), (1, 1, "assistant", "z"), (1, 2, None, None), (1, None, "user", "n"), (None, 3, "assistant", ""), (2, 1 << 60, "user", "far")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.conversation_events(df)
+    assert {r["event"] for r in log.select("event").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = chat.fold_events(log)
+    assert sorted((str(r["conv_id"]), r["msg"], r["role"], r["text"]) for r in got.collect()) == sorted((str(c), -(2**63) if t is None else t, r or "", x or "") for c, t, r, x in rows)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regenerate" in plan and "Join" in plan and "Window" in plan
+
+
+def test_chat_regenerations_over_many_blocks(spark):
+    r = random.Random(9)
+    rows = [(1, m * 37, 10 * m + 1, "message", "u", f"m{m}") for m in range(120)]
+    rows += [(1, r.randrange(120) * 37, 10 * r.randrange(200) + 5, "regenerate", "u", f"r{i}") for i in range(6)]
+    got = {x["msg"]: x["text"] for x in chat.fold_events(spark.createDataFrame(rows, "conv_id long, msg long, seq long, event string, role string, text string")).collect()}
+    cuts = {}
+    for _, m, s, e, _, t in rows:
+        if e == "regenerate":
+            cuts.setdefault(m, []).append((s, t))
+    expected = {}
+    for m in {x[1] for x in rows}:
+        cut = max((s for k, v in cuts.items() if k < m for s, _ in v), default=-1)
+        own = [(s, e, t) for _, k, s, e, _, t in rows if k == m and s > cut]
+        if own:
+            again = [(s, t) for s, e, t in own if e == "regenerate"]
+            expected[m] = max(again)[1] if again else own[0][2]
+    assert got == expected
+
+
 def test_chat_folds_deltas_edits_and_regenerations(spark):
     log = [
         (1, 0, 0, "message", "user", "hi"),
@@ -179,6 +209,29 @@ def test_secrets_link_only_complementary_parts():
     assert kinds(f"{KEY} token=abcdefgh1 bucket.s3.amazonaws.com") == ["access", "assign", "endpoint"]
 
 
+def test_secrets_at_the_edges_of_scopes():
+    spans = lambda t: [(secrets.KINDS[k], t[a:b]) for a, k, b in secrets.spans_of(t)]
+    long = (SECRET * 4)[:160]
+    for gap in range(secrets.SCOPE - 45, secrets.SCOPE + 5):
+        assert spans(f"{KEY} {'-' * gap} {long}") == [("access", KEY)]
+        assert spans(f"{long} {'-' * gap} {KEY}") == [("access", KEY)]
+    url = "https://s3.example.com/" + "x" * 100
+    for gap in (300, 330, 370):
+        got = spans(f"{KEY} token=abcdefgh1 {'-' * gap} {url}")
+        assert got == [("access", KEY), ("assign", "token=abcdefgh1")]
+    assert spans(f"{KEY} token=abcdefgh1 {'-' * 200} {url}")[-1] == ("endpoint", url)
+
+
+def test_secrets_anchor_on_named_identifiers():
+    spans = lambda t: [(secrets.KINDS[k], t[a:b]) for a, k, b in secrets.spans_of(t)]
+    assert spans("client_id=my-app-7 and no more") == []
+    assert spans(f"client_id=my-app-7 then {SECRET}") == [("identifier", "client_id=my-app-7"), ("secret", SECRET)]
+    assert spans("user_name: ann password=hunter2hunter2 https://db.example.com") == [("identifier", "user_name: ann"), ("assign", "password=hunter2hunter2"), ("endpoint", "https://db.example.com")]
+    assert spans(f"{'x ' * 50_000}client_id=my-app-7 {SECRET}{' y' * 50_000}")[-1] == ("secret", SECRET)
+    two = f"{KEY} {SECRET} {KEY}"
+    assert [k for k, _ in spans(two)] == ["access", "secret", "access"]
+
+
 def test_secrets_redaction_and_rows(spark):
     rows = [(1, "é " + KEY + " b", 9), (2, None, None), (3, "password: hunter2hunter2 x", 1), (3, "clean", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("spans", F.lit("mine"))
@@ -215,6 +268,46 @@ def brute_op6(rows):
     return out
 
 
+@pytest.mark.parametrize("parts", ["1", "8", "60"])
+def test_next_document_whatever_the_partitions(spark, tmp_path, parts):
+    r = random.Random(4)
+    rows = [(r.choice([1, 1, 1, 2, 3, None]), f"text {i % 37}") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    texts = sorted({t for _, t in rows})
+    place = {x["t"]: (x["h"], x["t"]) for x in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", f"pmod(xxhash64(t), {1 << 20}) h").collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), place[x[1]]))
+    expected = []
+    for i, (d, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        expected.append((str(d), sha(t[: len(t) - len(t) // 3] + nxt[: len(t) // 3])))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = [(str(x["doc_id"]), x["edited_sha256"]) for x in fingerprints.op6_fingerprints(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(got) == sorted(expected)
+
+
+def test_colliding_fingerprints_get_classes_of_their_own(spark, tmp_path, monkeypatch):
+    rows = [(1, "a"), (2, "b"), (3, "A"), (4, "c"), (5, "B ")]
+    forms = {(x["doc_id"], x["class_id"]): x["collision"] for x in _classes_of_one_bucket(spark, rows)}
+    assert forms == {(1, 1): 0, (3, 1): 0, (2, 2): 1, (5, 2): 1, (4, 4): 2}
+
+
+def _classes_of_one_bucket(spark, rows):
+    real = fingerprints.fingerprints
+
+    def one(docs, key="doc_id", keep_form=False):
+        return real(docs, key, keep_form).withColumn("fingerprint", F.lit("same"))
+
+    fingerprints.fingerprints = one
+    try:
+        return fingerprints.equal_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        fingerprints.fingerprints = real
+
+
 @pytest.mark.parametrize("n", [1, 2, 60])
 def test_next_document(spark, tmp_path, n):
     r = random.Random(n)
