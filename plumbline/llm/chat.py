@@ -76,18 +76,19 @@ def _joined(texts: Column) -> Column:
 
 
 def _removed(e: DataFrame) -> DataFrame:
-    """``conv_id, msg, cut``: the largest seq of a regeneration of an earlier message, where there is one."""
+    """``conv_id, msg, cut``: the largest seq of a regeneration of an earlier message, where that removes anything."""
     up = lambda c: F.floor(F.col(c) / SEGMENT_TURNS)
-    msgs = e.groupBy("conv_id", "msg").agg(F.max(F.when(F.col("event") == "regenerate", F.col("seq"))).alias("cut")).withColumn("block", up("msg"))
+    msgs = e.groupBy("conv_id", "msg").agg(F.max(F.when(F.col("event") == "regenerate", F.col("seq"))).alias("cut"), F.min("seq").alias("since"))
+    msgs = msgs.withColumn("block", up("msg"))
     blocks = msgs.groupBy("conv_id", "block").agg(F.max("cut").alias("cut")).withColumn("area", F.floor(F.col("block") / 1024))
     areas = blocks.groupBy("conv_id", "area").agg(F.max("cut").alias("cut"))
     before = lambda by, order: F.max("cut").over(Window.partitionBy("conv_id", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     a = areas.select("conv_id", "area", before([], "area").alias("far")).alias("a")
     b = blocks.select("conv_id", "block", "area", before(["area"], "block").alias("near")).alias("b")
-    m = msgs.select("conv_id", "msg", "block", before(["block"], "msg").alias("here")).alias("m")
+    m = msgs.select("conv_id", "msg", "block", "since", before(["block"], "msg").alias("here")).alias("m")
     b = b.join(a, _same("a", "b") & (F.col("a.area") == F.col("b.area"))).select("b.conv_id", "b.block", F.greatest("near", "far").alias("cut")).alias("b")
     out = m.join(b, _same("m", "b") & (F.col("m.block") == F.col("b.block")))
-    return out.select("m.conv_id", "m.msg", F.greatest("m.here", "b.cut").alias("cut")).where("cut IS NOT NULL")
+    return out.select("m.conv_id", "m.msg", "since", F.greatest("m.here", "b.cut").alias("cut")).where("cut >= since").drop("since")
 
 
 def _same(a: str, b: str) -> Column:
@@ -95,38 +96,33 @@ def _same(a: str, b: str) -> Column:
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """Final turns ``conv_id, msg, seq, role, text`` of an event log."""
+    """Final turns ``conv_id, msg, seq, role, text`` of an event log.
+
+    The events of a message meet in one row, as its text has to; what regenerations of earlier messages removed, its last
+    replacement and the deltas after that are found inside the row.
+    """
     e = _clean(events)
-    live = (
-        e.alias("e")
-        .join(_removed(e).alias("r"), _same("e", "r") & (F.col("e.msg") == F.col("r.msg")), "left")
-        .where("r.cut IS NULL OR e.seq > r.cut")
-        .select("e.*")
+    said = F.struct("seq", "role", "text")
+    of = lambda kind: F.when(kind, said)
+    message, delta = F.col("event") == "message", F.col("event") == "delta"
+    met = e.groupBy("conv_id", "msg", "copy").agg(
+        F.collect_list(of(message)).alias("messages"), F.collect_set(of(delta)).alias("deltas"), F.collect_list(of(~message & ~delta)).alias("resets")
     )
-    # Revisions of a message: its last replacement, and the deltas after it joined block by block.
-    key = ["conv_id", "msg", "copy"]
-    equal = lambda a, b: _same(a, b) & (F.col(f"{a}.msg") == F.col(f"{b}.msg")) & (F.col(f"{a}.copy") == F.col(f"{b}.copy"))
-    revised = live.where("event <> 'message'")
-    reset = revised.where("event <> 'delta'").groupBy(*key).agg(F.max(F.struct("seq", "role", "text")).alias("reset"))
-    deltas = (
-        revised.where("event = 'delta'")
-        .alias("d")
-        .join(reset.select(*key, F.col("reset.seq").alias("since")).alias("r"), equal("d", "r"), "left")
-        .where("r.since IS NULL OR d.seq > r.since")
-        .groupBy("d.conv_id", "d.msg", "d.copy", F.floor(F.col("d.seq") / 1024).alias("at"))
-        .agg(F.sort_array(F.collect_set(F.struct("d.seq", "d.role", "d.text"))).alias("x"))
-        .groupBy(*key)
-        .agg(F.sort_array(F.collect_list(F.struct("at", _joined(F.col("x.text")).alias("text"), F.col("x")[0].alias("head")))).alias("x"))
-        .select(*key, _joined(F.col("x.text")).alias("tail"), F.col("x")[0]["head"].alias("head"))
-    )
-    changes = reset.alias("r").join(deltas.alias("d"), equal("r", "d"), "full").select(*(F.coalesce(f"r.{c}", f"d.{c}").alias(c) for c in key), "reset", "tail", "head")
-    messages = live.where("event = 'message'")
-    return messages.alias("m").join(changes.alias("c"), equal("m", "c"), "full").select(
-        F.coalesce("m.conv_id", "c.conv_id").alias("conv_id"),
-        F.coalesce("m.msg", "c.msg").alias("msg"),
-        F.coalesce("m.seq", "c.reset.seq", "c.head.seq").alias("seq"),
-        F.coalesce(F.nullif("m.role", F.lit("")), F.nullif("c.reset.role", F.lit("")), "c.head.role", F.lit("")).alias("role"),
-        F.concat(F.coalesce("c.reset.text", "m.text", F.lit("")), F.coalesce("c.tail", F.lit(""))).alias("text"),
+    there = F.col("r.cut").isNull()
+    kept = lambda c: F.filter(c, lambda x: there | (x["seq"] > F.col("r.cut")))
+    cut = met.alias("m").join(_removed(e).alias("r"), _same("m", "r") & (F.col("m.msg") == F.col("r.msg")), "left")
+    cut = cut.select("m.conv_id", "m.msg", kept("messages").alias("messages"), kept("deltas").alias("deltas"), F.array_max(kept("resets")).alias("reset"))
+    live = cut.select("conv_id", "msg", "messages", "reset", F.sort_array(F.filter("deltas", lambda x: F.col("reset").isNull() | (x["seq"] > F.col("reset.seq")))).alias("deltas"))
+    live = live.select("conv_id", "msg", "messages", "reset", F.try_element_at("deltas", F.lit(1)).alias("head"), _joined(F.col("deltas.text")).alias("tail"))
+    none = F.struct(F.lit(None).cast("long").alias("seq"), F.lit("").alias("role"), F.lit("").alias("text"))
+    change = F.col("reset").isNotNull() | F.col("head").isNotNull()
+    turns = F.when(F.size("messages") > 0, F.col("messages")).when(change, F.array(none)).otherwise(F.array().cast("array<struct<seq:bigint,role:string,text:string>>"))
+    return live.select("conv_id", "msg", "reset", "head", "tail", F.explode(turns).alias("m")).select(
+        "conv_id",
+        "msg",
+        F.coalesce("m.seq", "reset.seq", "head.seq").alias("seq"),
+        F.coalesce(F.nullif("m.role", F.lit("")), F.nullif("reset.role", F.lit("")), "head.role", F.lit("")).alias("role"),
+        F.concat(F.coalesce("reset.text", "m.text", F.lit("")), "tail").alias("text"),
     )
 
 
