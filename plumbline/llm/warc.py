@@ -27,13 +27,16 @@ from urllib.parse import quote, unquote
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from plumbline.llm.common import shared_dir, table
+from plumbline.llm.common import shared_dir, table, written
 
 VERSION, EOL, RECORD_END = b"WARC/1.1", b"\r\n", "\r\n\r\n"
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 8 << 10
 ARCHIVE_BYTES = 32 << 20
+#: Groups of equal payloads (48 bytes each) that are broadcast at most.
+BROADCAST_GROUPS = 250_000
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -120,13 +123,15 @@ def _payload(block: bytes) -> tuple[bytes | None, int | None]:
 def with_responses(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """``pages`` with ``refers_to``: the response's page_id for rows that become revisits.
 
-    Payloads are told apart by length and SHA-256. Only groups of at least two rows go back to the pages, so the
-    pages themselves are shuffled only when that list is too large to be sent to every executor.
+    Payloads are told apart by length and SHA-256, which alone are shuffled and counted. Only groups of at least two rows go
+    back to the pages: up to ``BROADCAST_GROUPS`` of them to every executor, more by a join that shuffles the pages.
     """
     keyed = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     keyed = keyed.withColumns({"size": F.octet_length("payload"), "key": F.unhex(F.sha2("payload", 256))})
     groups = keyed.groupBy("size", "key").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper")).where((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes))
-    return keyed.join(groups, ["size", "key"], "left").select("page_id", "url", "payload", F.when(F.col("page_id") < F.col("keeper"), F.col("keeper")).alias("refers_to"))
+    groups = written(groups.select("size", "key", "keeper"), "payload-groups")
+    few = F.broadcast(groups) if isinstance(pages.schema["page_id"].dataType, NumericType) and groups.count() <= BROADCAST_GROUPS else groups
+    return keyed.join(few, ["size", "key"], "left").select("page_id", "url", "payload", F.when(F.col("page_id") < F.col("keeper"), F.col("keeper")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes: int = SEGMENT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
