@@ -75,21 +75,10 @@ def knn_probability(spark, d):
     return rounded(N.knn_probabilities(_near(spark, d, "euclidean")))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS u FROM embeddings WHERE vec_id < 40)
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS u FROM embeddings)
 SELECT a.vec_id AS a, b.vec_id AS b, round(exp(-0.5 * list_distance(a.u, b.u) * list_distance(a.u, b.u)), 6) AS rbf, round(pow(0.5 * list_dot_product(a.u, b.u) + 1, 3), 6) AS poly, round(tanh(0.5 * list_dot_product(a.u, b.u)), 6) AS sigmoid FROM v a JOIN v b ON a.vec_id < b.vec_id""")
 def kernels(spark, d):
-    v = table(spark, d, "embeddings").where("vec_id < 40").select(F.col("vec_id").alias("a"), F.col("embedding").alias("u"))
-    w = v.select(F.col("a").alias("b"), F.col("u").alias("w"))
-    return _kernels(v.join(F.broadcast(w), F.col("a") < F.col("b")))
-
-
-@query()
-def kernels_all(spark, d):
-    """The SQL of ``kernels`` has vec_id < 40; these are the pairs of the whole table."""
-    return _kernels(N.ordered_pairs(table(spark, d, "embeddings"), "vec_id", "embedding"))
-
-
-def _kernels(p):
+    p = N.ordered_pairs(table(spark, d, "embeddings"), "vec_id", "embedding")
     u, x = F.col("u"), F.col("w")
     return rounded(p.select("a", "b", S.kernel(u, x, "rbf", 0.5).alias("rbf"), S.kernel(u, x, "poly", 0.5, 3, 1.0).alias("poly"), S.kernel(u, x, "sigmoid", 0.5).alias("sigmoid")))
 
@@ -127,16 +116,11 @@ def nearest_center(spark, d):
     return N.assign(_points(spark, d), _CENTERS, "v").select("event_id", "cluster")
 
 
-_DB = "e AS (SELECT event_id AS id, value AS x, CAST(hour(ts) AS DOUBLE) AS y FROM events WHERE user_id <= 20), n AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2.0)"
-
-
-def _all_grid(spark, d):
-    return table(spark, d, "events").select("event_id", F.col("value").alias("x"), F.hour("ts").cast("double").alias("y"), "user_id")
+_DB = "e AS (SELECT event_id AS id, value AS x, CAST(hour(ts) AS DOUBLE) AS y FROM events), n AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x <= b.x + 2 AND a.x >= b.x - 2 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2.0)"
 
 
 def _grid(spark, d):
-    """The events that the SQL names; the queries ending in _all take every event."""
-    return _all_grid(spark, d).where("user_id <= 20")
+    return table(spark, d, "events").select("event_id", F.col("value").alias("x"), F.hour("ts").cast("double").alias("y"))
 
 
 @query(f"WITH {_DB} SELECT a, b FROM n")
@@ -149,38 +133,15 @@ def dbscan_core(spark, d):
     return N.dbscan(_grid(spark, d), "event_id", ["x", "y"], 2.0, 4).where("is_core").select("id")
 
 
-@query(f"""WITH RECURSIVE {_DB}, c AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= 4), g AS (SELECT a, b FROM n WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)),
-r AS (SELECT id AS f, id AS z FROM c UNION SELECT r.f, g.b FROM r JOIN g ON g.a = r.z), l AS (SELECT f AS id, min(z) AS root FROM r GROUP BY 1),
-k AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS k FROM l), o AS (SELECT n.a AS id, min(k.k) AS k FROM n JOIN k ON k.id = n.b GROUP BY 1)
-SELECT e.id, k.k IS NOT NULL AS is_core, CAST(coalesce(k.k, o.k, -1) AS INTEGER) AS cluster FROM e LEFT JOIN k ON k.id = e.id LEFT JOIN o ON o.id = e.id""")
+@query()
 def dbscan_labels(spark, d):
+    """Without SQL: the closure of all pairs is too large for it."""
     return N.dbscan(_grid(spark, d), "event_id", ["x", "y"], 2.0, 4)
 
 
-@query()
-def range_join_all(spark, d):
-    return N.within(_all_grid(spark, d), "event_id", ["x", "y"], 2.0)
-
-
-@query()
-def dbscan_core_all(spark, d):
-    return N.dbscan(_all_grid(spark, d), "event_id", ["x", "y"], 2.0, 4).where("is_core").select("id")
-
-
-@query()
-def dbscan_labels_all(spark, d):
-    return N.dbscan(_all_grid(spark, d), "event_id", ["x", "y"], 2.0, 4)
-
-
-@query("""WITH e AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v, label AS l FROM embeddings WHERE vec_id < 300), p AS (SELECT a.i, a.l AS la, b.l AS lb, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM e a, e b GROUP BY 1, 2, 3),
+@query("""WITH e AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS v, label AS l FROM embeddings), p AS (SELECT a.i, a.l AS la, b.l AS lb, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM e a, e b GROUP BY 1, 2, 3),
 c AS (SELECT i, max(s / (n - 1)) FILTER (WHERE la = lb AND n > 1) AS a, min(s / n) FILTER (WHERE la <> lb) AS b FROM p GROUP BY i) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM c""")
 def silhouette(spark, d):
-    return rounded(M.silhouette(table(spark, d, "embeddings").where("vec_id < 300"), "vec_id", "embedding", "label"))
-
-
-@query()
-def silhouette_all(spark, d):
-    """The SQL of ``silhouette`` has vec_id < 300; this is the whole table's."""
     return rounded(M.silhouette(table(spark, d, "embeddings"), "vec_id", "embedding", "label"))
 
 
@@ -190,9 +151,13 @@ def kmeans_fit(spark, d):
     return models.KMeans(3, 20, n_init=2).fit_predict(rows).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_C_SQL}, m AS (SELECT k, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM a GROUP BY k), t AS (SELECT avg(x) AS tx, avg(y) AS ty, count(*) AS n, count(DISTINCT k) AS g FROM a),
+w AS (SELECT k, avg(sqrt((x - mx) * (x - mx) + (y - my) * (y - my))) AS s, sum((x - mx) * (x - mx) + (y - my) * (y - my)) AS w FROM a JOIN m USING (k) GROUP BY k),
+r AS (SELECT p.k, max((u.s + v.s) / sqrt((p.mx - q.mx) * (p.mx - q.mx) + (p.my - q.my) * (p.my - q.my))) AS r FROM m p JOIN m q ON p.k <> q.k JOIN w u ON u.k = p.k JOIN w v ON v.k = q.k GROUP BY p.k)
+SELECT round((SELECT sum(m.n * ((mx - tx) * (mx - tx) + (my - ty) * (my - ty))) FROM m, t) / (SELECT g - 1 FROM t) / ((SELECT sum(w) FROM w) / (SELECT n - g FROM t)), 4) AS calinski_harabasz, round((SELECT avg(r) FROM r), 6) AS davies_bouldin""")
 def cluster_scores(spark, d):
-    return M.center_scores(N.assign(_points(spark, d), _CENTERS, "v"), "v", "cluster")
+    s = M.center_scores(N.assign(_points(spark, d), _CENTERS, "v"), "v", "cluster")
+    return s.select(F.round("calinski_harabasz", 4).alias("calinski_harabasz"), F.round("davies_bouldin", 6).alias("davies_bouldin"))
 
 
 # --- linear models and trees

@@ -6,6 +6,8 @@ rows); beyond that both sides are dealt into blocks. Range joins on few dimensio
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,23 +79,41 @@ def kmeans_step(df: DataFrame, centers: list[list[float]], point: str) -> DataFr
     return assign(df, centers, point).groupBy("cluster").agg(F.count("*").alias("n"), F.array(*x).alias("center"), F.sum("d2").alias("inertia"))
 
 
+def _apart(left: str, right: str, width: int, metric: str) -> Column:
+    """Distance of two points given as columns <prefix>0 and on: plain arithmetic, so that it is compiled."""
+    gaps = [F.abs(F.col(f"{left}{i}") - F.col(f"{right}{i}")) for i in range(width)]
+    if metric == "manhattan":
+        return sum(gaps[1:], gaps[0])
+    if metric != "euclidean":
+        raise ValueError(f"cells need the euclidean or the manhattan distance, not {metric!r}; nearest() has others")
+    squares = [g * g for g in gaps]
+    return F.sqrt(sum(squares[1:], squares[0]))
+
+
+def _points(df: DataFrame, key: str, axes: list[str]) -> DataFrame:
+    return df.select(col(key).alias("id"), *(col(c).cast("double").alias(f"x{i}") for i, c in enumerate(axes))).dropna()
+
+
+def _around(df: DataFrame, cells: list[str]) -> DataFrame:
+    """Each row once for every cell that touches its own."""
+    for c in cells:
+        df = df.withColumn(c, F.explode(F.array(*(F.col(c) + d for d in (-1, 0, 1)))))
+    return df
+
+
+def _as(df: DataFrame, prefix: str, width: int, *more: str) -> DataFrame:
+    return df.select(*(F.col(c) for c in df.columns if c.startswith("c")), F.col("id").alias(prefix), *(F.col(f"x{i}").alias(f"{prefix}_{i}") for i in range(width)), *more)
+
+
 def within(df: DataFrame, key: str, axes: list[str], eps: float, metric: str = "euclidean") -> DataFrame:
     """``a, b`` with distance <= eps, each row with itself too: cells of side eps, an equi-join, an exact test.
 
     Only one side is spread over neighbour cells. For more than three axes the first three make the cells.
     """
-    side = float(eps) if metric != "cosine" else None
-    rows = df.select(col(key).alias("id"), *(col(c).cast("double").alias(f"x{i}") for i, c in enumerate(axes))).dropna()
-    cells = [f"x{i}" for i in range(min(3, len(axes)))]
-    point = F.array(*(f"x{i}" for i in range(len(axes))))
-    if side is None:
-        raise ValueError("cosine neighbours need nearest() with a threshold")
-    at = rows.withColumns({f"c{i}": F.floor(F.col(c) / side).cast("long") for i, c in enumerate(cells)}).withColumn("v", point)
-    spread = at.select(F.col("id").alias("a"), F.col("v").alias("va"), *(f"c{i}" for i in range(len(cells))))
-    for i in range(len(cells)):
-        spread = spread.withColumn(f"c{i}", F.explode(F.array(*(F.col(f"c{i}") + d for d in (-1, 0, 1)))))
-    on = [f"c{i}" for i in range(len(cells))]
-    return spread.join(at.select(F.col("id").alias("b"), F.col("v").alias("vb"), *on), on).where(distance(F.col("va"), F.col("vb"), metric) <= eps).select("a", "b")
+    width, cells = len(axes), [f"c{i}" for i in range(min(3, len(axes)))]
+    at = _points(df, key, axes).withColumns({c: F.floor(F.col(f"x{i}") / float(eps)).cast("long") for i, c in enumerate(cells)})
+    met = _around(_as(at, "a", width), cells).join(_as(at, "b", width), cells)
+    return met.where(_apart("a_", "b_", width, metric) <= eps).select("a", "b")
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -109,31 +129,69 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return _checkpoint(df.withColumn(name, F.monotonically_increasing_id()))
 
 
-def dbscan(df: DataFrame, key: str, axes: list[str], eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean") -> DataFrame:
-    """``id, is_core, cluster``: -1 is noise; clusters are numbered by their smallest core key, a border point
-    belongs to the smallest cluster among its core neighbours.
-
-    Core points link to core neighbours; components by smallest label with pointer jumping, a logarithmic number of
-    rounds, each checkpointed.
-    """
-    pairs = _checkpoint(within(df, key, axes, eps, metric))
-    core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("a")
-    edges = _checkpoint(pairs.join(core, "a").join(core.select(F.col("a").alias("b")), "b").select("a", "b"))
+def _smallest(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``a, label``: the smallest node that links lead to, by smallest labels with pointer jumping, each round checkpointed."""
+    links = links.select("a", "b")
+    edges = _checkpoint(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.select("a", F.col("a").alias("b"))).distinct())
     labels = edges.groupBy("a").agg(F.min("b").alias("label"))
     while True:
         step = edges.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
         jump = step.select(F.col("a").alias("label"), F.col("label").alias("to"))
         new = _checkpoint(step.join(jump, "label").select("a", F.col("to").alias("label")))
-        changed = not new.join(labels.withColumnRenamed("label", "was"), "a").where("label <> was").isEmpty()
+        if new.join(labels.withColumnRenamed("label", "was"), "a").where("label <> was").isEmpty():
+            return new
         labels = new
-        if not changed:
-            break
+
+
+def dbscan(df: DataFrame, key: str, axes: list[str], eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean") -> DataFrame:
+    """``id, is_core, cluster``: -1 is noise; clusters are numbered by their smallest core key, a border point
+    belongs to the smallest cluster among its core neighbours.
+
+    Cells are so small that the points of one are all neighbours: a cell of ``min_samples`` points has core points only, and
+    the core points of a cell are one cluster. So neighbours are counted for points of thinner cells alone, and
+    clusters are components of cells. Neighbouring cells are linked by the outermost core points of either, first; their
+    points meet only where these do not reach and no other cells link the two. Pairs of points are never written.
+    """
+    width = len(axes)
+    side = float(eps) / (math.sqrt(width) if metric == "euclidean" else width) * (1 - 1e-9)
+    wide = math.ceil(float(eps) / side)
+    cells = [f"c{i}" for i in range(min(3, width))]  # of side eps at least: neighbours are in the same or a touching one
+    at = _points(df, key, axes)
+    at = at.withColumn("cell", F.array(*(F.floor(F.col(f"x{i}") / side).cast("long") for i in range(width))))
+    at = at.withColumns({c: F.floor(F.col("cell")[i] / wide).cast("long") for i, c in enumerate(cells)})
+    at = _checkpoint(at.join(at.groupBy("cell").agg(F.count("*").alias("held")), "cell"))
+    near = lambda met: met.where(_apart("a_", "b_", width, metric) <= eps)
+
+    thin = _around(_as(at.where(F.col("held") < min_samples), "a", width), cells).drop("cell")
+    found = near(thin.join(_as(at.drop("cell"), "b", width), cells)).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples)
+    core_ids = at.where(F.col("held") >= min_samples).select("id").unionByName(found.select(F.col("a").alias("id")))
+    core = _checkpoint(at.join(core_ids, "id", "left_semi"))
+
+    point = F.array(*(F.col(f"x{i}") for i in range(width)))
+    ends = F.array(*(f(point, F.col(f"x{i}")) for i in range(width) for f in (F.min_by, F.max_by)))
+    held = _checkpoint(core.groupBy("cell", *cells).agg(F.min("id").alias("a"), ends.alias("ends")))
+    other = held.select(*cells, F.col("a").alias("b"), F.col("cell").alias("there"), F.col("ends").alias("far_ends"))
+    steps = [F.greatest(F.abs(F.col("cell")[i] - F.col("there")[i]) - 1, F.lit(0)).cast("double") for i in range(width)]
+    least = sum(steps[1:], steps[0]) if metric == "manhattan" else F.sqrt(sum((x * x for x in steps[1:]), steps[0] * steps[0]))
+    reach = F.exists("ends", lambda p: F.exists("far_ends", lambda q: distance(p, q, metric) <= eps))
+    pairs = _around(held, cells).join(other, cells).where((F.col("a") < F.col("b")) & (least * side <= eps))
+    pairs = _checkpoint(pairs.select("a", "b", "cell", "there", reach.alias("linked")))
+    links = pairs.where("linked").select("a", "b")
+    labels = _smallest(held, links)
+    apart = pairs.where("NOT linked").join(labels.withColumnRenamed("label", "la"), "a").join(labels.select(F.col("a").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb")
+    members = core.select("cell", "id", *(f"x{i}" for i in range(width)))
+    one = members.select("cell", *(F.col(f"x{i}").alias(f"a_{i}") for i in range(width)))
+    two = members.select(F.col("cell").alias("there"), *(F.col(f"x{i}").alias(f"b_{i}") for i in range(width)))
+    more = near(apart.select("cell", "there", "a", "b").join(one, "cell").join(two, "there")).select("a", "b").distinct()
+    labels = _smallest(held, links.unionByName(more))
+
     roots = labels.select("label").distinct()
     number = roots.withColumn("cluster", F.dense_rank().over(Window.orderBy("label")) - 1)
-    named = labels.join(number, "label").select("a", "cluster")
-    near = pairs.join(named.select(F.col("a").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("border"))
+    named = _checkpoint(core.join(held.select("cell", "a").join(labels, "a").join(number, "label").select("cell", "cluster"), "cell"))
+    rest = at.join(named.select("id"), "id", "left_anti").drop("cell")
+    border = near(_around(_as(rest, "a", width), cells).join(_as(named.drop("cell"), "b", width, "cluster"), cells)).groupBy("a").agg(F.min("cluster").alias("border"))
     every = df.select(col(key).alias("id"))
-    return every.join(named.withColumnRenamed("a", "id"), "id", "left").join(near.withColumnRenamed("a", "id"), "id", "left").select(
+    return every.join(named.select("id", "cluster"), "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left").select(
         "id", F.col("cluster").isNotNull().alias("is_core"), F.coalesce("cluster", "border", F.lit(-1)).cast("int").alias("cluster")
     )
 

@@ -31,9 +31,10 @@ def test_neighbours_at_equal_points(spark, k):
         assert x["prediction"] == pytest.approx(sum(p[2] for p in near) / k)
 
 
-def test_density_queries_take_all_events(spark, tmp_path):
-    r = random.Random(8)
-    rows = [(i, datetime(2024, 1, 1, r.randrange(24)), i % 60, r.uniform(0, 60)) for i in range(200)]
+@pytest.mark.parametrize(("seed", "many", "spread"), [(8, 200, 60), (9, 300, 500), (10, 400, 90)])
+def test_density_queries_take_all_events(spark, tmp_path, seed, many, spread):
+    r = random.Random(seed)
+    rows = [(i, datetime(2024, 1, 1, r.randrange(24)), i % 60, r.uniform(0, spread)) for i in range(many)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
     near = {i: {j for j, u, _, w in rows if (v - w) ** 2 + (t.hour - u.hour) ** 2 <= 4} for i, t, _, v in rows}
     core = {i for i in near if len(near[i]) >= 4}
@@ -48,9 +49,9 @@ def test_density_queries_take_all_events(spark, tmp_path):
     number = {v: n for n, v in enumerate(sorted(set(root.values())))}
     want = {i: (i in core, number[root[i]] if i in core else min((number[root[j]] for j in near[i] & core), default=-1)) for i in near}
     known = entry.queries()
-    assert {tuple(x) for x in known["range_join_all"](spark, str(tmp_path)).collect()} == {(i, j) for i in near for j in near[i]}
-    assert {x[0] for x in known["dbscan_core_all"](spark, str(tmp_path)).collect()} == core
-    assert {x["id"]: (x["is_core"], x["cluster"]) for x in known["dbscan_labels_all"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(x) for x in known["range_join"](spark, str(tmp_path)).collect()} == {(i, j) for i in near for j in near[i]}
+    assert {x[0] for x in known["dbscan_core"](spark, str(tmp_path)).collect()} == core
+    assert {x["id"]: (x["is_core"], x["cluster"]) for x in known["dbscan_labels"](spark, str(tmp_path)).collect()} == want
 
 
 def brute_silhouette(pts):
@@ -76,7 +77,7 @@ def test_silhouette_of_more_rows_than_one_block(spark):
 def test_silhouette_takes_all_embeddings(spark):
     pts = [tuple(x) for x in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert len(pts) > 300
-    assert entry.queries()["silhouette_all"](spark, DATA).head()[0] == pytest.approx(brute_silhouette(pts), abs=2e-6)
+    assert entry.queries()["silhouette"](spark, DATA).head()[0] == pytest.approx(brute_silhouette(pts), abs=2e-6)
 
 
 @pytest.mark.parametrize("broadcast", [20_000, 10])
@@ -90,7 +91,7 @@ def test_kernels_of_all_pairs(spark, monkeypatch, broadcast):
     squares = (v * v).sum(1)
     rbf = np.exp(-0.5 * (squares[:, None] + squares[None, :] - 2 * dots))
     place = {x: n for n, x in enumerate(ids)}
-    got = entry.queries()["kernels_all"](spark, DATA).collect()
+    got = entry.queries()["kernels"](spark, DATA).collect()
     assert len(got) == len({(x["a"], x["b"]) for x in got}) == len(e) * (len(e) - 1) // 2
     for x in got:
         i, j = place[x["a"]], place[x["b"]]
