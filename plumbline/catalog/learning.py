@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.catalog.registry import query, rounded, table
@@ -76,7 +75,7 @@ def knn_probability(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS u FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(exp(-0.5 * list_distance(a.u, b.u) * list_distance(a.u, b.u)), 6) AS rbf, round(pow(0.5 * list_dot_product(a.u, b.u) + 1, 3), 6) AS poly, round(tanh(0.5 * list_dot_product(a.u, b.u)), 6) AS sigmoid FROM v a JOIN v b ON a.vec_id < b.vec_id""")
+SELECT a.vec_id AS a, b.vec_id AS b, round(exp(-0.5 * list_distance(a.u, b.u) * list_distance(a.u, b.u)), 6) AS rbf, round(pow(0.5 * list_dot_product(a.u, b.u) + 1, 3), 6) AS poly, round(tanh(0.5 * list_dot_product(a.u, b.u)), 6) + 0.0 AS sigmoid FROM v a JOIN v b ON a.vec_id < b.vec_id""")
 def kernels(spark, d):
     p = N.ordered_pairs(table(spark, d, "embeddings"), "vec_id", "embedding")
     u, x = F.col("u"), F.col("w")
@@ -116,7 +115,7 @@ def nearest_center(spark, d):
     return N.assign(_points(spark, d), _CENTERS, "v").select("event_id", "cluster")
 
 
-_DB = "e AS (SELECT event_id AS id, value AS x, CAST(hour(ts) AS DOUBLE) AS y FROM events), n AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x <= b.x + 2 AND a.x >= b.x - 2 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2.0)"
+_DB = "e AS (SELECT event_id AS id, value AS x, CAST(hour(ts) AS DOUBLE) AS y FROM events), n AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.x <= b.x + 2.1 AND a.x >= b.x - 2.1 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2.0)"
 
 
 def _grid(spark, d):
@@ -227,12 +226,22 @@ def _scored(spark, model, rows):
     return spark.createDataFrame([(type(model).__name__, float(model.fit(a).score(b)))], "model string, score double")
 
 
-def _model_query(name: str, label: str, **params):
+def _linear_score(name: str, alpha: float) -> str:
+    """Coefficient of determination on the held-out orders of the closed form fitted on the others."""
+    return f"""WITH r AS (SELECT l_orderkey % 50 = 0 AS test, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b, 3 * l_quantity - 2 * l_discount + 1 AS y FROM lineitem),
+s AS (SELECT var_pop(a) + {alpha} AS aa, var_pop(b) + {alpha} AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM r WHERE NOT test),
+w AS (SELECT (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS u, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS v, ma, mb, my FROM s),
+p AS (SELECT y, u * (a - ma) + v * (b - mb) + my AS z FROM r, w WHERE test)
+SELECT '{name}' AS model, round(1 - sum((y - z) * (y - z)) / (var_pop(y) * count(*)), 7) AS score FROM p"""
+
+
+def _model_query(name: str, label: str, sql: str | None = None, **params):
     def run(spark, d):
-        return _scored(spark, models.REGISTRY[name](**params), _signal(spark, d, label))
+        out = _scored(spark, models.REGISTRY[name](**params), _signal(spark, d, label))
+        return out.withColumn("score", F.round("score", 7)) if sql else out
 
     run.__name__ = f"model_{name.lower()}"
-    query()(run)
+    query(sql)(run)
 
 
 for _name, _label, _params in (
@@ -251,7 +260,7 @@ for _name, _label, _params in (
     ("SVMClassifier", "class", {"kernel": "linear", "epochs": 20}),
     ("KNNClassifier", "class", {}),
 ):
-    _model_query(_name, _label, **_params)
+    _model_query(_name, _label, _linear_score(_name, _params.get("alpha", 0.0)) if _name in ("LinearRegression", "Ridge") else None, **_params)
 
 
 # --- metrics, votes, tuning
@@ -281,9 +290,9 @@ def precision_recall_f1(spark, d):
 SELECT l_orderkey, l_linenumber, p AS vote FROM c QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY n DESC, p) = 1""")
 def bagging_vote(spark, d):
     t = table(spark, d, "lineitem").where(F.col("l_orderkey").isNotNull())
-    v = t.select("l_orderkey", "l_linenumber", F.explode(F.array((F.col("l_linenumber") % 3).cast("long"), F.col("l_quantity").cast("long") % 3, F.col("l_partkey") % 3)).alias("p"))
-    c = v.groupBy("l_orderkey", "l_linenumber", "p").agg(F.count("*").alias("n"))
-    return c.groupBy("l_orderkey", "l_linenumber").agg(F.min_by("p", F.struct(-F.col("n"), F.col("p"))).alias("vote"))
+    votes = F.array((F.col("l_linenumber") % 3).cast("long"), F.col("l_quantity").cast("long") % 3, F.col("l_partkey") % 3)
+    cast = t.groupBy("l_orderkey", "l_linenumber").agg(F.flatten(F.collect_list(votes)).alias("votes"))
+    return cast.select("l_orderkey", "l_linenumber", models.most_votes(models.vote_shares(F.col("votes"), 3)).cast("long").alias("vote"))
 
 
 _BOARD = "b AS (SELECT o_orderpriority AS model, avg(o_totalprice) / 1e6 AS score, avg(o_totalprice) / 1e6 - 0.01 * (count(*) % 7) AS cv_mean, 0.001 * (count(*) % 50) AS cv_std, CAST(count(*) AS DOUBLE) AS seconds, CAST(count(*) % 5 AS INTEGER) AS n_params FROM orders GROUP BY 1)"
@@ -298,8 +307,7 @@ def _board(spark, d):
 
 @query(f"WITH {_BOARD} SELECT CAST(row_number() OVER (ORDER BY score DESC, model) AS INTEGER) AS rank, model, round(score, 6) AS score FROM b")
 def leaderboard_rank(spark, d):
-    w = Window.orderBy(F.col("score").desc(), "model")
-    return rounded(_board(spark, d).select(F.row_number().over(w).alias("rank"), "model", "score"))
+    return rounded(automl.ranked(_board(spark, d)).select("rank", "model", "score"))
 
 
 @query(f"""WITH {_BOARD}, x AS (SELECT *, greatest(score - cv_mean, 0) AS gap, max(seconds) OVER () AS ms, max(n_params) OVER () AS mp FROM b)
@@ -321,7 +329,9 @@ def automl_classification(spark, d):
     return automl.AutoML("classification", a, b, 60, 1, 2, only=["LogisticRegression", "DecisionTreeClassifier"]).fit().leaderboard().drop("seconds")
 
 
-@query()
+@query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events), c AS (SELECT event_id, event_type, least(greatest(value, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) AS v FROM events, q),
+f AS (SELECT event_type, count(*) / (SELECT count(event_type) FROM events) AS share FROM events GROUP BY 1), m AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events)
+SELECT event_id, round(share, 6) AS event_type, round((v - m) / s, 6) AS value FROM c JOIN f USING (event_type), m""")
 def streaming_replay(spark, d):
     """A fitted pipeline run over a stream of events."""
     import uuid
@@ -339,4 +349,4 @@ def streaming_replay(spark, d):
     stages = [prep.fit_winsorize(e, ["value"]), prep.fit_frequency(e, ["event_type"]), prep.fit_scale(e, ["value"])]
     e.write.parquet(f"{at}/in")
     replay.run_available(replay.replay(replay.read_stream(spark, f"{at}/in", e.schema), stages), f"{at}/out", f"{at}/state")
-    return spark.read.parquet(f"{at}/out")
+    return rounded(spark.read.parquet(f"{at}/out"))

@@ -142,15 +142,25 @@ def drop_constant(spark, d):
     return P.fit_drop_constant(t).transform(t)
 
 
-@query("SELECT 'l_tax' AS kept, 'tax2' AS duplicate WHERE (SELECT bool_and(l_tax IS NOT DISTINCT FROM l_tax) FROM lineitem)")
+_WIDE = "w AS (SELECT 1 AS k, l_quantity, l_tax, l_tax AS tax2, 2 * l_tax + 1 AS tax3 FROM lineitem)"
+
+
+@query(f"""WITH {_WIDE}, p AS (SELECT * FROM (VALUES
+  ('l_quantity', 'l_tax', (SELECT bool_and(l_quantity IS NOT DISTINCT FROM l_tax) FROM w)), ('l_quantity', 'tax2', (SELECT bool_and(l_quantity IS NOT DISTINCT FROM tax2) FROM w)),
+  ('l_quantity', 'tax3', (SELECT bool_and(l_quantity IS NOT DISTINCT FROM tax3) FROM w)), ('l_tax', 'tax2', (SELECT bool_and(l_tax IS NOT DISTINCT FROM tax2) FROM w)),
+  ('l_tax', 'tax3', (SELECT bool_and(l_tax IS NOT DISTINCT FROM tax3) FROM w)), ('tax2', 'tax3', (SELECT bool_and(tax2 IS NOT DISTINCT FROM tax3) FROM w))) AS x(kept, duplicate, same))
+SELECT min(kept) AS kept, duplicate FROM p WHERE same GROUP BY duplicate""")
 def duplicate_columns(spark, d):
     return spark.createDataFrame(P.duplicate_pairs(_wide(spark, d)), "kept string, duplicate string")
 
 
-@query("SELECT l_quantity, l_tax FROM lineitem")
+@query(f"""WITH {_WIDE}, c AS (SELECT abs(corr(l_quantity, l_tax)) > 0.95 AS t1, abs(corr(l_quantity, tax2)) > 0.95 AS q2, abs(corr(l_tax, tax2)) > 0.95 AS t2, abs(corr(l_quantity, tax3)) > 0.95 AS q3, abs(corr(l_tax, tax3)) > 0.95 AS t3, abs(corr(tax2, tax3)) > 0.95 AS d3 FROM w),
+g AS (SELECT t1, q2 OR (t2 AND NOT t1) AS g2, q3 OR (t3 AND NOT t1) OR (d3 AND NOT (q2 OR (t2 AND NOT t1))) AS g3 FROM c)
+SELECT x.column, x.gone FROM g, (VALUES ('l_quantity'), ('l_tax'), ('tax2'), ('tax3')) AS n(name), LATERAL (SELECT n.name AS "column", CASE n.name WHEN 'l_tax' THEN t1 WHEN 'tax2' THEN g2 WHEN 'tax3' THEN g3 ELSE false END AS gone) AS x""")
 def correlated_drop(spark, d):
     t = _wide(spark, d).drop("k")
-    return P.fit_drop_correlated(t).transform(t)
+    kept = P.fit_drop_correlated(t).transform(t.limit(0)).columns
+    return spark.createDataFrame([(c, c not in kept) for c in t.columns], "`column` string, gone boolean")
 
 
 @query("""WITH e AS (SELECT quantile_cont(o_totalprice, 0.2) AS a, quantile_cont(o_totalprice, 0.4) AS b, quantile_cont(o_totalprice, 0.6) AS c, quantile_cont(o_totalprice, 0.8) AS d FROM orders)

@@ -119,6 +119,12 @@ class _Library:
 
     reader = None
 
+    @property
+    def history_(self) -> list[float]:
+        """The objective of each iteration, where the estimator has iterations and was fitted in this session."""
+        fitted = self._need()
+        return [float(x) for x in getattr(fitted.summary, "objectiveHistory", [])] if getattr(fitted, "hasSummary", False) else []
+
     def state(self) -> dict:
         return {"labels": getattr(self, "labels", None)}
 
@@ -296,13 +302,26 @@ class RandomForestRegressor(_Forest, _LibraryRegressor):
 
 
 class _Bagging(Model):
-    """Members on samples of rows and features, fitted by a few driver threads; seed + i for member i."""
+    """Members on samples of rows and features, fitted by a few driver threads; seed + i for member i.
 
-    def __init__(self, n_estimators: int = 10, max_samples: float = 1.0, max_features: float = 1.0, bootstrap: bool = True, max_depth: int | None = 5, random_state: int = SEED):
+    ``base_estimator`` names another model of the ML library than the trees; ``bootstrap_features`` draws features with
+    replacement.
+    """
+
+    def __init__(self, n_estimators: int = 10, max_samples: float = 1.0, max_features: float = 1.0, bootstrap: bool = True, max_depth: int | None = 5, random_state: int = SEED, base_estimator: str | None = None, bootstrap_features: bool = False):
         self.n_estimators, self.max_samples, self.max_features, self.bootstrap, self.max_depth, self.random_state = n_estimators, max_samples, max_features, bootstrap, max_depth, random_state
+        self.base_estimator, self.bootstrap_features = base_estimator, bootstrap_features
 
     base: type[Model]
 
+    def _member(self, seed: int) -> Model:
+        if self.base_estimator is None:
+            return self.base(max_depth=self.max_depth, random_state=seed)
+        made = REGISTRY.get(self.base_estimator)
+        if made is None or not issubclass(made, _Library) or made.task != self.task:
+            raise ValueError(f"{self.base_estimator!r} is no {self.task} model of the library")
+        return made()
+
     def fit(self, df: DataFrame) -> Model:
         import random
 
@@ -314,9 +333,10 @@ class _Bagging(Model):
 
         def member(i: int):
             k = max(1, round(width * self.max_features)) if self.max_features <= 1 else int(self.max_features)
-            chosen = sorted(random.Random(self.random_state + i).sample(range(width), min(k, width)))
+            rng = random.Random(self.random_state + i)
+            chosen = sorted(rng.choices(range(width), k=k) if self.bootstrap_features else rng.sample(range(width), min(k, width)))
             part = rows.sample(self.bootstrap, fraction, self.random_state + i).withColumn("features", self._part(chosen))
-            return chosen, self.base(max_depth=self.max_depth, random_state=self.random_state + i).fit(part)
+            return chosen, self._member(self.random_state + i).fit(part)
 
         with ThreadPoolExecutor(3) as pool:
             self.fitted = list(pool.map(member, range(self.n_estimators)))
@@ -333,11 +353,13 @@ class _Bagging(Model):
         for chosen, m in self._need():
             out = out.withColumn("features", self._part(chosen)) if len(chosen) else out
             drop = ("rawPrediction", "probability")
-            out = m.fitted.transform(out).drop(*drop).withColumn("_votes", F.array_append("_votes", F.col("prediction"))).drop("prediction").withColumn("features", F.col("_all"))
+            # A member numbers the classes of its own sample, which need not hold them all.
+            vote = m._named(F.col("prediction")) if isinstance(m, Classifier) else F.col("prediction")
+            out = m.fitted.transform(out).drop(*drop).withColumn("_votes", F.array_append("_votes", vote)).drop("prediction").withColumn("features", F.col("_all"))
         return out.drop("_all")
 
     def state(self) -> dict:
-        return {"chosen": [c for c, _ in self._need()], "labels": getattr(self, "labels", None)}
+        return {"chosen": [c for c, _ in self._need()], "labels": getattr(self, "labels", None), "member_labels": [getattr(m, "labels", None) for _, m in self._need()]}
 
     def _save_parts(self, path: str) -> None:
         for i, (_, m) in enumerate(self.fitted):
@@ -346,11 +368,22 @@ class _Bagging(Model):
     def _load_parts(self, path: str, spark: SparkSession, state: dict) -> None:
         self.labels, self.fitted = state["labels"], []
         for i, chosen in enumerate(state["chosen"]):
-            m = self.base(max_depth=self.max_depth)
-            m.fitted = self.base.reader.load(f"{path}/member-{i}")
+            m = self._member(self.random_state + i)
+            m.labels = state["member_labels"][i]
+            m.fitted = m.reader.load(f"{path}/member-{i}")
             self.fitted.append((chosen, m))
 
 
+def vote_shares(votes: Column, n: int) -> Column:
+    """The share of the votes for each of the classes 0 to n - 1."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.size(F.filter(votes, lambda v: v == i)) / F.size(votes))
+
+
+def most_votes(shares: Column) -> Column:
+    """The class of the largest share, the smallest of ties."""
+    return F.array_position(shares, F.array_max(shares)) - 1
+
+
 class BaggingClassifier(_Bagging, Classifier):
     """Majority vote, ties to the smallest class; the probability of a class is its share of the votes."""
 
@@ -362,10 +395,8 @@ class BaggingClassifier(_Bagging, Classifier):
 
     def predict(self, df: DataFrame) -> DataFrame:
         out = self._votes(df)
-        n = len(self.labels)
-        shares = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.size(F.filter("_votes", lambda v: v == i)) / F.size("_votes"))
-        out = out.withColumn("probability", shares).drop("_votes")
-        return out.withColumn("prediction", self._named(F.array_position("probability", F.array_max("probability")) - 1))
+        out = out.withColumn("probability", vote_shares(F.col("_votes"), len(self.labels))).drop("_votes")
+        return out.withColumn("prediction", self._named(most_votes(F.col("probability"))))
 
     predict_proba = predict
 
@@ -584,6 +615,22 @@ class KMeans(_Library, Clusterer):
         return [[float(x) for x in c] for c in self._need().clusterCenters()]
 
 
+class BisectingKMeans(_Library, Clusterer):
+    """Hierarchical clusters from the top down: the largest cluster is cut in two until there are ``n_clusters``."""
+
+    reader = mlk.BisectingKMeansModel
+
+    def __init__(self, n_clusters: int = 2, max_iter: int = 20, min_size: float = 1.0, random_state: int = SEED):
+        self.n_clusters, self.max_iter, self.min_size, self.random_state = n_clusters, max_iter, min_size, random_state
+
+    def fit(self, df: DataFrame) -> Model:
+        self.fitted = mlk.BisectingKMeans(k=self.n_clusters, maxIter=self.max_iter, minDivisibleClusterSize=self.min_size, seed=self.random_state).fit(df.select("features"))
+        return self
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self._need().transform(df)
+
+
 class DBSCAN(Clusterer):
     """Clusters of the rows it was fitted on; predict gives the cluster of the nearest core point within eps, or -1."""
 
@@ -655,7 +702,7 @@ def best_stump(df: DataFrame, feature: str, label: str, criterion: str = "gini",
 
 REGISTRY: dict[str, type[Model]] = {
     c.__name__: c
-    for c in (LinearRegression, Ridge, Lasso, DecisionTreeRegressor, RandomForestRegressor, BaggingRegressor, SVMRegressor, KNNRegressor, LogisticRegression, DecisionTreeClassifier, RandomForestClassifier, BaggingClassifier, SVMClassifier, KNNClassifier, KMeans, DBSCAN)
+    for c in (LinearRegression, Ridge, Lasso, DecisionTreeRegressor, RandomForestRegressor, BaggingRegressor, SVMRegressor, KNNRegressor, LogisticRegression, DecisionTreeClassifier, RandomForestClassifier, BaggingClassifier, SVMClassifier, KNNClassifier, KMeans, BisectingKMeans, DBSCAN)
 }
 
 

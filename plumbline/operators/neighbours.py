@@ -147,17 +147,22 @@ def dbscan(df: DataFrame, key: str, axes: list[str], eps: float = 0.5, min_sampl
     """``id, is_core, cluster``: -1 is noise; clusters are numbered by their smallest core key, a border point
     belongs to the smallest cluster among its core neighbours.
 
-    Cells are so small that the points of one are all neighbours: a cell of ``min_samples`` points has core points only, and
+    The cosine distance is half the squared Euclidean one of directions, which take the points' place; points of length
+    zero have no direction and are noise. Cells are so small that the points of one are all neighbours: a cell of ``min_samples`` points has core points only, and
     the core points of a cell are one cluster. So neighbours are counted for points of thinner cells alone, and
     clusters are components of cells. Neighbouring cells are linked by the outermost core points of either, first; their
     points meet only where these do not reach and no other cells link the two. Pairs of points are never written.
     """
     width = len(axes)
+    points = _points(df, key, axes)
+    if metric == "cosine":
+        length = F.sqrt(sum((F.col(f"x{i}") * F.col(f"x{i}") for i in range(width)), F.lit(0.0)))
+        points = points.withColumn("length", length).where("length > 0").select("id", *((F.col(f"x{i}") / F.col("length")).alias(f"x{i}") for i in range(width)))
+        metric, eps = "euclidean", math.sqrt(2 * eps)
     side = float(eps) / (math.sqrt(width) if metric == "euclidean" else width) * (1 - 1e-9)
     wide = math.ceil(float(eps) / side)
     cells = [f"c{i}" for i in range(min(3, width))]  # of side eps at least: neighbours are in the same or a touching one
-    at = _points(df, key, axes)
-    at = at.withColumn("cell", F.array(*(F.floor(F.col(f"x{i}") / side).cast("long") for i in range(width))))
+    at = points.withColumn("cell", F.array(*(F.floor(F.col(f"x{i}") / side).cast("long") for i in range(width))))
     at = at.withColumns({c: F.floor(F.col("cell")[i] / wide).cast("long") for i, c in enumerate(cells)})
     at = _checkpoint(at.join(at.groupBy("cell").agg(F.count("*").alias("held")), "cell"))
     near = lambda met: met.where(_apart("a_", "b_", width, metric) <= eps)

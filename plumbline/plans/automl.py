@@ -6,13 +6,17 @@ import json
 import math
 import random
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from datetime import datetime, timezone
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import models, split
 from plumbline.plans.plan import Plan, Preparer, RuleAdvisor, task_of
+from plumbline.sources.tables import saved_bytes
 
 #: Search spaces as (kind, low or choices, high, step).
 _TREE = {"max_depth": ("int", 3, 30, 1), "min_samples_leaf": ("int", 1, 10, 1)}
@@ -34,7 +38,8 @@ SPACES: dict[str, dict] = {
     "BaggingClassifier": _BAG,
     "BaggingRegressor": _BAG,
     "KMeans": {"n_clusters": ("int", 2, 20, 1), "max_iter": ("int", 100, 1000, 100), "tol": ("log", 1e-6, 1e-2), "n_init": ("int", 5, 20, 1), "init": ("choice", ["k-means++", "random"])},
-    "DBSCAN": {"eps": ("float", 0.1, 5.0), "min_samples": ("int", 2, 20, 1), "metric": ("choice", ["euclidean", "manhattan"])},
+    "DBSCAN": {"eps": ("float", 0.1, 5.0), "min_samples": ("int", 2, 20, 1), "metric": ("choice", ["euclidean", "manhattan", "cosine"])},
+    "BisectingKMeans": {"n_clusters": ("int", 2, 20, 1)},
     "KNNClassifier": _KNN,
     "KNNRegressor": _KNN,
     "Apriori": {"min_support": ("float", 0.01, 0.5), "min_confidence": ("float", 0.1, 0.9), "min_lift": ("float", 1.0, 5.0), "max_length": ("choice", [None, 2, 3, 4, 5, 6, 7, 8, 9, 10])},
@@ -114,18 +119,38 @@ def rubric(board: DataFrame) -> DataFrame:
     return board.withColumns({"overfit": gap > 0.05, "rejected": F.col("cv_std") > 0.10, "rubric": value})
 
 
+def ranked(board: DataFrame) -> DataFrame:
+    """``board`` with ``rank``: by falling score, then by model. A row for each model, so one task orders them."""
+    return board.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "model")))
+
+
 class AutoML:
     """Tunes the models of a task by mean cross-validated score, refits, scores on held-out rows and ranks them."""
 
-    def __init__(self, task: str, train: DataFrame, test: DataFrame, time_budget: float = 300.0, n_trials: int = 50, cv_folds: int = 5, random_state: int = 42, only: list[str] | None = None):
+    def __init__(self, task: str, train: DataFrame, test: DataFrame, time_budget: float = 300.0, n_trials: int = 50, cv_folds: int = 5, random_state: int = 42, only: list[str] | None = None, suggest: Callable[[str, dict], dict] | None = None):
+        """``suggest(model, {"rows", "columns", "task"})`` may propose parameters, which are tried first."""
         if task not in ("classification", "regression", "clustering"):
             raise ValueError(f"no models for {task!r}")
         self.task, self.time_budget, self.n_trials, self.cv_folds, self.random_state = task, time_budget, n_trials, cv_folds, random_state
         self.train, self.test = train.persist(), test.persist()
         self.candidates = {n: c for n, c in models.registry(task).items() if not only or n in only}
+        self.suggest = suggest
         self.results: list[Result] = []
         self.models: dict[str, models.Model] = {}
 
+    @classmethod
+    def with_budget(cls, task: str, train: DataFrame, test: DataFrame, mode: str = "medium", **more) -> AutoML:
+        """Seconds and trials from the size of the training rows."""
+        columns = len(train.columns) if "features" not in train.columns else train.select(F.max(F.size(vector_to_array("features")))).head()[0] or 1
+        seconds, trials = time_budget(train.count(), columns, mode)
+        return cls(task, train, test, seconds, trials, **more)
+
+    def _proposed(self, name: str) -> dict:
+        if self.suggest is None:
+            return {}
+        facts = {"task": self.task, "rows": self.train.count(), "columns": len(self.train.columns)}
+        return {k: v for k, v in (self.suggest(name, facts) or {}).items() if k in self.candidates[name].names()}
+
     def _folded(self) -> DataFrame:
         keyed = self.train.withColumn("_k", F.xxhash64(*[c for c in self.train.columns]))
         return split.folds(keyed, self.cv_folds, "_k", "label" if self.task == "classification" else None, self.random_state).drop("_k").persist()
@@ -145,8 +170,10 @@ class AutoML:
             if time.monotonic() - began > self.time_budget:
                 break
             start, sampler, best, error = time.monotonic(), Sampler(SPACES.get(name, {}), self.random_state), None, None
-            for _ in range(self.n_trials if SPACES.get(name) else 1):
+            proposed = self._proposed(name)
+            for trial in range(self.n_trials if SPACES.get(name) else 1):
                 params = sampler.suggest()
+                params = params | proposed if trial == 0 else params
                 try:
                     mean, std = self._cross(lambda c=cls, p=params: c(**p), folded)
                 except Exception as e:  # a failed trial is recorded and ranks last
@@ -183,18 +210,40 @@ class AutoML:
         return out + (["collect more rows: folds disagree"] if r.cv_std > 0.1 else [])
 
     def leaderboard(self, top_k: int | None = None) -> DataFrame:
-        rows = [(i + 1, r.model, float(r.score), float(r.cv_mean), float(r.cv_std), float(r.seconds), len(r.params)) for i, r in enumerate(self.results[:top_k])]
-        return self.train.sparkSession.createDataFrame(rows, "rank int, model string, score double, cv_mean double, cv_std double, seconds double, n_params int")
-
-    def export(self) -> str:
-        return json.dumps({"config": {"task": self.task, "n_trials": self.n_trials, "cv_folds": self.cv_folds, "time_budget": self.time_budget}, "summary": {"best_model": self.best, "models": len(self.results)}, "results": [asdict(r) for r in self.results]})
+        rows = [(r.model, float(r.score), float(r.cv_mean), float(r.cv_std), float(r.seconds), len(r.params)) for r in self.results]
+        board = ranked(self.train.sparkSession.createDataFrame(rows, "model string, score double, cv_mean double, cv_std double, seconds double, n_params int"))
+        board = board.where(F.col("rank") <= top_k) if top_k is not None else board
+        return board.select("rank", "model", "score", "cv_mean", "cv_std", "seconds", "n_params")
+
+    def formatted(self) -> DataFrame:
+        """The leaderboard with the range of the cross-validated score, one deviation to either side, and an overfit flag."""
+        low, high = F.col("cv_mean") - F.col("cv_std"), F.col("cv_mean") + F.col("cv_std")
+        return self.leaderboard().withColumns({"cv_low": low, "cv_high": high, "overfit": F.greatest(F.col("score") - F.col("cv_mean"), F.lit(0.0)) > 0.05})
+
+    def export(self, path: str | None = None) -> str:
+        """Configuration, summary, results and failed models as JSON; written as a text file below ``path``, if given."""
+        failed = [{"model": r.model, "error": r.error} for r in self.results if r.model not in self.models]
+        results = [asdict(r) | {"cv_low": r.cv_mean - r.cv_std, "cv_high": r.cv_mean + r.cv_std} for r in self.results]
+        config = {"task": self.task, "n_trials": self.n_trials, "cv_folds": self.cv_folds, "time_budget": self.time_budget, "random_state": self.random_state}
+        summary = {"best_model": self.best if self.models else None, "models": len(self.results), "failed": failed, "at": datetime.now(timezone.utc).isoformat()}
+        text = json.dumps({"config": config, "summary": summary, "results": results})
+        if path:
+            self.train.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return text
+
+    def _save(self, name: str, path: str) -> None:
+        spark = self.train.sparkSession
+        self.models[name].save(f"{path}/{name}", spark)
+        r = next(x for x in self.results if x.model == name)
+        facts = asdict(r) | {"task": self.task, "at": datetime.now(timezone.utc).isoformat(), "megabytes": saved_bytes(spark, f"{path}/{name}") / 1e6}
+        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}/metadata")
 
     def save_best(self, path: str) -> None:
-        self.models[self.best].save(f"{path}/{self.best}", self.train.sparkSession)
+        self._save(self.best, path)
 
     def save_all(self, path: str) -> None:
-        for n, m in self.models.items():
-            m.save(f"{path}/{n}", self.train.sparkSession)
+        for n in self.models:
+            self._save(n, path)
 
     @staticmethod
     def load_model(path: str, spark: SparkSession) -> models.Model:

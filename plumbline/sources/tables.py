@@ -41,3 +41,9 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", target: str | None = N
 
 def write_report(report: dict, path: str) -> None:
     Path(path).write_text(json.dumps(report, indent=2, default=str))
+
+
+def saved_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``, in any store that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(folder).getLength())

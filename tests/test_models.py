@@ -169,3 +169,74 @@ def test_kernels_differ_and_survive_saving(spark, blobs, tmp_path, params):
     m.save(str(tmp_path / "m"), spark)
     same = models.load(str(tmp_path / "m"), spark)
     assert same.predict(blobs).select("prediction").collect() == m.predict(blobs).select("prediction").collect()
+
+
+def test_bagging_of_other_models_and_rare_classes(spark, blobs, tmp_path):
+    df = models.assemble(blobs, ["a", "b"], "name", ["id"])
+    m = models.BaggingClassifier(2, max_samples=0.9, base_estimator="LogisticRegression", bootstrap_features=True).fit(df)
+    m.save(str(tmp_path / "m"), spark)
+    again = models.load(str(tmp_path / "m"), spark)
+    assert sorted(map(str, again.predict(df).select("id", "prediction").collect())) == sorted(map(str, m.predict(df).select("id", "prediction").collect()))
+    rare = models.BaggingClassifier(3, max_samples=0.05, bootstrap=False).fit(df)
+    assert {r[0] for r in rare.predict(df).select("prediction").distinct().collect()} <= {"red", "green", "blue"}
+    with pytest.raises(ValueError):
+        models.BaggingClassifier(1, base_estimator="KNNClassifier").fit(df)
+
+
+def test_bisecting_clusters_and_history(spark, blobs):
+    df = models.assemble(blobs, ["a", "b"], "name")
+    assert models.BisectingKMeans(3).fit_predict(df).select("prediction").distinct().count() == 3
+    h = models.LogisticRegression(epochs=20).fit(df).history_
+    assert len(h) > 2 and h[-1] <= h[0]
+
+
+def test_dbscan_cosine_against_brute_force(spark):
+    r = random.Random(12)
+    pts = [(i, r.gauss(0, 3), r.gauss(0, 3)) for i in range(120)] + [(200, 0.0, 0.0)]
+    got = {x["id"]: (x["is_core"], x["cluster"]) for x in neighbours.dbscan(spark.createDataFrame(pts, "id long, a double, b double"), "id", ["a", "b"], 0.002, 4, "cosine").collect()}
+    d = lambda p, q: 1 - (p[1] * q[1] + p[2] * q[2]) / ((p[1] ** 2 + p[2] ** 2) ** 0.5 * (q[1] ** 2 + q[2] ** 2) ** 0.5)
+    there = pts[:-1]
+    near = {p[0]: {q[0] for q in there if d(p, q) <= 0.002} for p in there}
+    core = {i for i in near if len(near[i]) >= 4}
+    root = {}
+    for i in sorted(core):
+        todo = [] if i in root else [i]
+        while todo:
+            j = todo.pop()
+            if j not in root:
+                root[j] = i
+                todo += near[j] & core
+    number = {v: n for n, v in enumerate(sorted(set(root.values())))}
+    want = {i: (i in core, number[root[i]] if i in core else min((number[root[j]] for j in near[i] & core), default=-1)) for i in near}
+    assert got == want | {200: (False, -1)}
+
+
+def test_answers_are_read():
+    from plumbline.plans import answers
+
+    assert answers.parsed('<think>{"a": 1}</think> ```json\n{"b": [2]}\n```') == {"b": [2]}
+    assert answers.parsed("so: {'no'}") == {} and answers.parsed(None) == {} and answers.parsed("<think>open {}") == {} and answers.parsed("[1]") == {}
+    columns = [{"name": "a", "priority": "low"}, {"name": "b", "priority": "high"}, {"name": "c"}, {"name": "d", "priority": "HIGH", "keep": False}]
+    assert [c["name"] for c in answers.kept_by_priority(columns, 2)] == ["b", "a"]
+
+
+def test_asking_advisor_falls_back_and_results_are_written(spark, blobs, tmp_path):
+    import json
+
+    from plumbline.plans import answers
+
+    plan = answers.AskingAdvisor(lambda prompt: "no idea").plan(blobs.select("a", "b", "name"), "classification", "name")
+    assert plan == automl.RuleAdvisor().plan(blobs.select("a", "b", "name"), "classification", "name")
+    df = models.assemble(blobs, ["a", "b"], "name")
+    asked = []
+    run = automl.AutoML.with_budget("classification", df, df, "basic", cv_folds=2, only=["DecisionTreeClassifier"], suggest=lambda m, f: asked.append(f) or {"max_depth": 2, "other": 1})
+    run.n_trials = 1
+    run.fit()
+    assert run.results[0].params["max_depth"] == 2 and asked[0]["rows"] == 150
+    run.export(str(tmp_path / "r"))
+    written = json.loads(spark.read.text(str(tmp_path / "r")).head()[0])
+    assert written["summary"]["failed"] == [] and "cv_low" in written["results"][0]
+    run.save_best(str(tmp_path / "best"))
+    facts = json.loads(spark.read.text(str(tmp_path / "best/DecisionTreeClassifier/metadata")).head()[0])
+    assert facts["megabytes"] > 0 and facts["model"] == "DecisionTreeClassifier"
+    assert run.formatted().columns[-3:] == ["cv_low", "cv_high", "overfit"]
