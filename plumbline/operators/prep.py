@@ -8,6 +8,7 @@ all-zero (one-hot) or null (frequency, label).
 from __future__ import annotations
 
 import json
+import uuid
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -23,6 +24,8 @@ from plumbline.functions.scalar import clamp, shifted_log, yeo_johnson
 from plumbline.operators import profile
 
 _APPLY: dict[str, Callable[..., DataFrame]] = {}
+#: Categories that fitted stages take into their plan: one-hot columns a column, numbers of a value map.
+ONEHOT_UP_TO, MAP_UP_TO = 1_000, 5_000
 
 
 @dataclass(frozen=True)
@@ -146,14 +149,14 @@ def _clamp(df: DataFrame, limits: dict) -> DataFrame:
     return _replace(df, {c: clamp(col(c), *x) for c, x in _have(df, limits).items() if x})
 
 
-def fit_winsorize(df: DataFrame, columns: list[str], method: str = "iqr", fold: float = 1.5, task: str = "") -> Fitted:
-    limits = profile.bounds(df, columns, max(fold, 2.0) if task == "clustering" else fold, method)
+def fit_winsorize(df: DataFrame, columns: list[str], method: str = "iqr", fold: float = 1.5, task: str = "", accuracy: int | None = None) -> Fitted:
+    limits = profile.bounds(df, columns, max(fold, 2.0) if task == "clustering" else fold, method, accuracy)
     return Fitted("clamp", {"limits": {c: list(x) if x else None for c, x in limits.items()}})
 
 
-def fit_winsorize_target(df: DataFrame, target: str, fold: float = 3.0) -> Fitted:
+def fit_winsorize_target(df: DataFrame, target: str, fold: float = 3.0, accuracy: int | None = None) -> Fitted:
     """Limits of a target, where any of its values lies outside; else nothing to do."""
-    lo, hi = profile.bounds(df, [target], fold)[target] or (None, None)
+    lo, hi = profile.bounds(df, [target], fold, accuracy=accuracy)[target] or (None, None)
     outside = lo is not None and df.where((col(target) < lo) | (col(target) > hi)).limit(1).count() > 0
     return Fitted("clamp", {"limits": {target: [lo, hi] if outside else None}})
 
@@ -180,37 +183,58 @@ def _onehot(df: DataFrame, categories: dict) -> DataFrame:
 def fit_onehot(df: DataFrame, columns: list[str], drop_last: bool = False) -> Fitted:
     text = df.select(*(F.coalesce(col(c).cast("string"), F.lit("missing")).alias(c) for c in columns))
     seen: dict[str, list[str]] = {c: [] for c in columns}
-    for r in profile.value_counts(text, columns).orderBy("column", "value").collect():
-        seen[r["column"]].append(r["value"])
+    most = ONEHOT_UP_TO * len(columns)
+    found = profile.value_counts(text, columns).select("column", "value").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {ONEHOT_UP_TO} categories a column; encode their frequencies")
+    for column, value in sorted(tuple(r) for r in found):
+        seen[column].append(value)
     return Fitted("onehot", {"categories": {c: v[:-1] if drop_last and len(v) > 1 else v for c, v in seen.items()}})
 
 
 @_stage
-def _map_values(df: DataFrame, values: dict) -> DataFrame:
-    made = {}
+def _map_values(df: DataFrame, values: dict, tables: dict | None = None) -> DataFrame:
+    made, names = {}, df.columns
     for c, m in _have(df, values).items():
         pairs = [x for k, v in m.items() for x in (F.lit(k), F.lit(v))]
         made[c] = F.try_element_at(F.create_map(*pairs), col(c).cast("string")) if pairs else F.lit(None).cast("double")
-    return _replace(df, made)
+    for i, (c, path) in enumerate(_have(df, tables or {}).items()):
+        known = df.sparkSession.read.schema("value string, number double").parquet(path)
+        df = df.join(known.select(F.col("value").alias(f"_value{i}"), F.col("number").alias(f"_number{i}")), col(c).cast("string") == F.col(f"_value{i}"), "left")
+        made[c] = F.col(f"_number{i}")
+    return df.select(*((made[c] if c in made else col(c)).alias(c) for c in names))
+
+
+def _value_maps(tables: dict[str, DataFrame]) -> Fitted:
+    """A number for each category of a column, from ``value, number``: in the plan up to ``MAP_UP_TO`` categories, more in
+    a table of the shared folder that later batches are joined with."""
+    values, paths = {}, {}
+    for c, t in tables.items():
+        t = t.select(F.col("value").cast("string").alias("value"), F.col("number").cast("double").alias("number"))
+        rows = t.limit(MAP_UP_TO + 1).collect()
+        if len(rows) <= MAP_UP_TO:
+            values[c] = {r["value"]: r["number"] for r in rows}
+            continue
+        base = t.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            raise ValueError(f"{c!r} has more than {MAP_UP_TO} categories; set spark.checkpoint.dir to a shared folder for their table")
+        paths[c] = f"{base.rstrip('/')}/categories-{uuid.uuid4().hex}"
+        t.write.parquet(paths[c])
+    return Fitted("map_values", {"values": values} | ({"tables": paths} if paths else {}))
 
 
 def fit_frequency(df: DataFrame, columns: list[str]) -> Fitted:
     """Share of all rows of each category; null stays null."""
     n = df.count()
-    values: dict[str, dict] = {c: {} for c in columns}
-    for r in profile.value_counts(df, columns).collect():
-        values[r["column"]][r["value"]] = r["n"] / n
-    return Fitted("map_values", {"values": values})
+    return _value_maps({c: profile.value_counts(df, [c]).select("value", (F.col("n") / n).alias("number")) for c in columns})
 
 
 def fit_target_encoding(df: DataFrame, columns: list[str], target: str, smoothing: float = 10.0) -> Fitted:
     """Mean of the target per category, drawn to the overall mean by ``smoothing`` rows."""
     mean = df.agg(F.avg(col(target).cast("double"))).head()[0] or 0.0
-    values = {}
-    for c in columns:
-        rows = df.where(col(target).isNotNull()).groupBy(col(c).cast("string").alias("v")).agg(F.count("*").alias("n"), F.sum(col(target).cast("double")).alias("s")).where("v IS NOT NULL").collect()
-        values[c] = {r["v"]: (r["s"] + smoothing * mean) / (r["n"] + smoothing) for r in rows}
-    return Fitted("map_values", {"values": values})
+    there, y = df.where(col(target).isNotNull()), col(target).cast("double")
+    drawn = (F.sum(y) + smoothing * mean) / (F.count("*") + smoothing)
+    return _value_maps({c: there.groupBy(col(c).cast("string").alias("value")).agg(drawn.alias("number")).where("value IS NOT NULL") for c in columns})
 
 
 # --- transformation and scaling

@@ -101,10 +101,10 @@ def bounds(df: DataFrame, columns: list[str], fold: float = 1.5, method: str = "
     return out
 
 
-def outliers(df: DataFrame, columns: list[str] | None = None, fold: float = 1.5) -> DataFrame:
+def outliers(df: DataFrame, columns: list[str] | None = None, fold: float = 1.5, accuracy: int | None = None) -> DataFrame:
     """``column, lower, upper, outliers``: values beyond the quartile limits; 0 where a column has no values."""
     columns = columns or numeric(df)
-    limits = bounds(df, columns, fold)
+    limits = bounds(df, columns, fold, accuracy=accuracy)
     rows = []
     for c in columns:
         lo, hi = limits[c] or (None, None)
@@ -126,10 +126,13 @@ def correlations(df: DataFrame, columns: list[str] | None = None, threshold: flo
     return _long(df, rows).where(F.abs("r") > threshold).select("a", "b", "r")
 
 
-def quality_score(df: DataFrame) -> DataFrame:
-    """``rows, columns, completeness, penalty, score``: completeness less a penalty for outlying cells, 0 to 100."""
+def quality_score(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """``rows, columns, completeness, penalty, score``: completeness less a penalty for outlying cells, 0 to 100.
+
+    ``accuracy`` makes the quartiles approximate, for columns of very many distinct values.
+    """
     cells = missing(df).agg(F.avg("percent").alias("p"))
-    out = outliers(df).agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("o")) if numeric(df) else cells.select(F.lit(0).alias("o"))
+    out = outliers(df, accuracy=accuracy).agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("o")) if numeric(df) else cells.select(F.lit(0).alias("o"))
     rows = df.agg(F.count("*").alias("rows"))
     done = F.greatest(F.lit(0.0), 100 - F.col("p"))
     penalty = F.least(F.lit(50.0), F.col("o") * 100.0 / F.greatest(F.col("rows"), F.lit(1)))

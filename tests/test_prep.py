@@ -150,3 +150,36 @@ def test_profile_empty_and_null_columns(spark):
     assert profile.outliers(df).head()["outliers"] == 0
     assert profile.missing(df).where("percent = 100").count() == 2
     assert profile.summary(df)["rows"] == 3
+
+
+@pytest.mark.parametrize("most", [2, 5_000])
+def test_many_categories_go_to_a_table(spark, monkeypatch, most):
+    monkeypatch.setattr(prep, "MAP_UP_TO", most)
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), ("c", 7.0), (None, 9.0)], "k string, y double")
+    shares = {"a": 0.4, "b": 0.2, "c": 0.2, None: None, "new": None}
+    later = spark.createDataFrame([(x, 0.0) for x in shares], "k string, y double")
+    f = prep.Fitted.from_json(prep.fit_frequency(df, ["k"]).to_json())
+    assert ("tables" in f.params) == (most == 2)
+    got = f.transform(later.withColumnRenamed("y", "z").withColumn("name", F.col("k")))
+    assert got.columns == ["k", "z", "name"] and {r["name"]: r["k"] for r in got.collect()} == shares
+    t = prep.fit_target_encoding(df, ["k"], "y", 0.0).transform(later.withColumn("name", F.col("k")))
+    assert {r["name"]: r["k"] for r in t.collect()} == {"a": 2.0, "b": 5.0, "c": 7.0, None: None, "new": None}
+
+
+def test_onehot_of_too_many_categories(spark, monkeypatch):
+    monkeypatch.setattr(prep, "ONEHOT_UP_TO", 3)
+    with pytest.raises(ValueError):
+        prep.fit_onehot(spark.range(9).select(F.col("id").cast("string").alias("k")), ["k"])
+
+
+@pytest.mark.parametrize("seed", [None, 42])
+def test_ranks_by_blocks(spark, seed):
+    df = spark.range(3_000).select("id", F.when(F.col("id") % 7 != 0, F.col("id") % 3).alias("label")).repartition(5)
+    out = split.folds(df, 5, "id", "label", seed).groupBy("label", "fold").count().collect()
+    assert len(out) == 20 and max(r["count"] for r in out) - min(r["count"] for r in out if r["label"] == out[0]["label"]) < 600
+    per = {}
+    for r in out:
+        per.setdefault(r["label"], []).append(r["count"])
+    assert all(max(c) - min(c) <= 1 for c in per.values())
+    parts = split.stratified(df, "label", "id", 0.2, seed).groupBy("label").agg(F.count_if("is_test").alias("t"), F.count("*").alias("n")).collect()
+    assert all(r["t"] == int(r["n"] * 0.2) for r in parts)
