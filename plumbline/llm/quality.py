@@ -6,8 +6,9 @@ by the log ratio of their rates in the two classes and brought to unit length; a
 balanced classes is fitted on them by dual coordinate descent. A score is the logistic function of the margin.
 
 Labels come only from rows whose crc32(doc_id as text) mod 3 is not 1. The model is fitted on at most ``MAX_TRAIN``
-of these, the smallest by a hash of doc_id, which bounds what the driver gathers; every document is scored on its
-whole text, in one pass without a shuffle.
+of these, the smallest by a hash of doc_id and then by doc_id, and as many of them in this order as hold at most
+``MAX_PLACES`` places together (one at least), which bounds the rows and the bytes that the driver gathers; every document
+is scored on its whole text, in one pass without a shuffle.
 
 Defined results: null text counts as empty; empty texts get the score of an empty set (the bias); without labels of
 both classes every score is 0.5; a doc_id with several labels counts as its smallest; null doc_ids are scored and
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.codec import release, text_blocks
-from plumbline.llm.common import small_batches, table
+from plumbline.llm.common import small_batches, table, written
 
-MAX_TRAIN = 4_000
+MAX_TRAIN, MAX_PLACES = 4_000, 16_000_000
 DIMENSIONS = 1 << 18
 HALF = DIMENSIONS >> 1
 GRAMS = (2, 4)
@@ -143,8 +144,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
-    """Fits on at most ``most`` labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, most_places: int = MAX_PLACES) -> Model:
+    """Fits on at most ``most`` labelled rows of ``most_places`` places that are not held out."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(~held_out())
     # Only ids that are there; a doc_id that stands in several rows counts once.
     there = known.join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -158,7 +159,15 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sets, pa.binary())], ["doc_id", "quality", "places"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"doc_id {kind}, quality {labels.schema['quality'].dataType.simpleString()}, places binary").toArrow()
+    got = rows.mapInArrow(run, f"doc_id {kind}, quality {labels.schema['quality'].dataType.simpleString()}, places binary")
+    got = written(got, "labelled-places")
+    held, cut = 0, None
+    for r in sorted(got.select(F.xxhash64("doc_id").alias("at"), "doc_id", F.octet_length("places").alias("size")).collect()):
+        held += r["size"] // 4
+        if cut is not None and held > most_places:
+            break
+        cut = r["at"]
+    got = (got.where(F.xxhash64("doc_id") <= F.lit(cut)) if cut is not None else got).toArrow()
     once = {}
     for doc, quality, places in zip(*(c.to_pylist() for c in got.columns), strict=True):
         once[doc] = min(once.get(doc, (places, quality)), (places, quality))
