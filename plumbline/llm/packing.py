@@ -38,6 +38,8 @@ SEQUENCE_TOKENS = 2048
 WINDOW_TOKENS = 1 << 21
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 CLOSING_ID = 1
+#: Units whose ids a worker keeps, and marks that end a word.
+UNITS, ENDS = 150_000, frozenset(".,;:!?")
 
 
 @lru_cache(1)
@@ -65,18 +67,21 @@ class WordEncoder:
 
     def unit(self, u: str) -> list[int]:
         if (ids := self.known.get(u)) is None:
-            ids = [t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, u.encode())))]
-            if len(self.known) > codec.LIMIT // 2:
-                self.known.clear()
-            self.known[u] = ids
+            ids = [t.id for t in self.model.tokenize(u if u.isascii() and u.isalpha() else "".join(map(self.alphabet.__getitem__, u.encode())))]
+            if len(self.known) < UNITS and len(u) <= codec.LONGEST:
+                self.known[u] = ids
         return ids
 
     def ids(self, chunk: str) -> list[int]:
         if chunk.isascii():
             if chunk.isalpha():
                 return self.unit(chunk)
+            if chunk[-1:] in ENDS and chunk[:-1].isalpha():  # a word and its mark, two units
+                return self.unit(chunk[:-1]) + self.unit(chunk[-1])
         else:
             chunk = "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
+            if chunk.isalpha():
+                return self.unit(chunk)
         return [i for u in self.units.findall(chunk) for i in self.unit(u)]
 
     def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
