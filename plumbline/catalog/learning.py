@@ -33,17 +33,17 @@ def split_hash(spark, d):
 
 # --- neighbours
 
-_SIDES = """q AS (SELECT vec_id AS a, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 25 = 0), t AS (SELECT vec_id AS b, CAST(embedding AS DOUBLE[]) AS u, label FROM embeddings WHERE vec_id % 25 <> 0)"""
+_SIDES = """q AS (SELECT vec_id AS a, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), t AS (SELECT vec_id AS b, CAST(embedding AS DOUBLE[]) AS u, label FROM embeddings)"""
 _DIST = {"euclidean": "list_distance(v, u)", "manhattan": "list_sum(list_transform(list_zip(v, u), lambda z: abs(z[1] - z[2])))", "cosine": "1 - list_dot_product(v, u) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(u, u)) + 1e-8)"}
 
 
 def _near(spark, d, metric, k=5):
     e = table(spark, d, "embeddings")
-    return N.nearest(e.where("vec_id % 25 <> 0"), e.where("vec_id % 25 = 0"), k, "vec_id", "embedding", metric, "label")
+    return N.nearest(e, e.where("vec_id % 20 = 0"), k, "vec_id", "embedding", metric, "label", exclude_self=True)
 
 
 def _knn_sql(metric: str, weight: str = "1.0") -> str:
-    return f"""WITH {_SIDES}, p AS (SELECT a, b, label, {_DIST[metric]} AS x FROM q, t), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY x, b) <= 5),
+    return f"""WITH {_SIDES}, p AS (SELECT a, b, label, {_DIST[metric]} AS x FROM q, t WHERE a <> b), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY x, b) <= 5),
 v AS (SELECT a, label, sum({weight}) AS w FROM k GROUP BY 1, 2) SELECT a AS q_id, label AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, label) = 1"""
 
 
@@ -62,13 +62,13 @@ def knn_cosine_weighted(spark, d):
     return N.knn_classify(_near(spark, d, "cosine"), "distance")
 
 
-@query(f"""WITH {_SIDES}, p AS (SELECT a, b, label, {_DIST['euclidean']} AS x FROM q, t), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY x, b) <= 5)
+@query(f"""WITH {_SIDES}, p AS (SELECT a, b, label, {_DIST['euclidean']} AS x FROM q, t WHERE a <> b), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY x, b) <= 5)
 SELECT a AS q_id, round(sum(label / (x + 1e-8)) / sum(1 / (x + 1e-8)), 6) AS prediction FROM k GROUP BY 1""")
 def knn_regress(spark, d):
     return rounded(N.knn_regress(_near(spark, d, "euclidean"), "distance"))
 
 
-@query(f"""WITH {_SIDES}, p AS (SELECT a, b, label, {_DIST['euclidean']} AS x FROM q, t), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY x, b) <= 5)
+@query(f"""WITH {_SIDES}, p AS (SELECT a, b, label, {_DIST['euclidean']} AS x FROM q, t WHERE a <> b), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY x, b) <= 5)
 SELECT a AS q_id, label, round(count(*) / 5, 6) AS probability FROM k GROUP BY 1, 2""")
 def knn_probability(spark, d):
     return rounded(N.knn_probabilities(_near(spark, d, "euclidean")))
@@ -190,8 +190,7 @@ SELECT t AS threshold, round(impurity, 6) AS impurity, n_left, n_right FROM b OR
 
 
 def _stump(spark, d, label, criterion):
-    t = table(spark, d, "lineitem").where("l_tax < 0.085")
-    return rounded(models.best_stump(t, "l_tax", label, criterion))
+    return rounded(models.best_stump(table(spark, d, "lineitem"), "l_tax", label, criterion))
 
 
 @query(_thresholds("l_tax", "l_returnflag", "c AS (SELECT t, l, y, count(*) AS k FROM s GROUP BY 1, 2, 3), g AS (SELECT t, l, sum(k) AS n, 1 - sum(k * k) / (sum(k) * sum(k)) AS i FROM c GROUP BY 1, 2)"))
