@@ -1,7 +1,9 @@
 """Nearest neighbours, density clusters, centroid steps.
 
-Query rows meet training rows through a broadcast only while the query side is small (``BROADCAST_QUERIES``
-rows); beyond that both sides are dealt into blocks. Range joins on few dimensions use grid cells and equi-joins.
+Query rows meet training rows through a broadcast only while the query side is small (``BROADCAST_QUERIES`` rows of
+``BROADCAST_BYTES`` in all); beyond that both sides are dealt into blocks of about ``BLOCK_ROWS`` rows, and pairs of
+blocks are the groups of an equi-join, so that neither a task nor the number of tasks is fixed while the tables grow.
+Range joins on few dimensions use grid cells and equi-joins.
 """
 
 from __future__ import annotations
@@ -13,17 +15,23 @@ from pyspark.sql import functions as F
 
 from plumbline.columns import col
 from plumbline.functions.scalar import EPSILON, distance
+from plumbline.operators import split
 
-BROADCAST_QUERIES = 20_000
-BLOCKS = 32
+BROADCAST_QUERIES, BROADCAST_BYTES = 20_000, 64 << 20
+BLOCK_ROWS = 5_000
 
 
 def _meet(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """All pairs of a bounded query set and the rows; a larger one is dealt in blocks by an equi-join."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+    """All pairs of a bounded query set (id, point) and the rows (id, point, ...); a larger one is dealt in blocks."""
+    many, numbers = queries.agg(F.count("*"), F.sum(F.size(queries.columns[1]))).head()
+    if many <= BROADCAST_QUERIES and 8 * (numbers or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(queries), F.lit(True))
-    q = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    return rows.withColumn("_b", F.pmod(F.xxhash64("t_id"), F.lit(BLOCKS)).cast("int")).join(q, "_b").drop("_b")
+    blocks = [-(-n // BLOCK_ROWS) for n in (many, max(1, rows.count()))]
+    # Ids may repeat: the point has a say in the block, too.
+    own = lambda df, n: F.pmod(F.xxhash64(*df.columns[:2]), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("_i", own(queries, blocks[0])).withColumn("_j", every(blocks[1]))
+    return rows.withColumn("_j", own(rows, blocks[1])).withColumn("_i", every(blocks[0])).join(q, ["_i", "_j"]).drop("_i", "_j")
 
 
 def ordered_pairs(df: DataFrame, key: str, point: str) -> DataFrame:
@@ -191,7 +199,7 @@ def dbscan(df: DataFrame, key: str, axes: list[str], eps: float = 0.5, min_sampl
     labels = _smallest(held, links.unionByName(more))
 
     roots = labels.select("label").distinct()
-    number = roots.withColumn("cluster", F.dense_rank().over(Window.orderBy("label")) - 1)
+    number = split.positions(roots, [], "label", None).select("label", F.col("_at").alias("cluster"))
     named = _checkpoint(core.join(held.select("cell", "a").join(labels, "a").join(number, "label").select("cell", "cluster"), "cell"))
     rest = at.join(named.select("id"), "id", "left_anti").drop("cell")
     border = near(_around(_as(rest, "a", width), cells).join(_as(named.drop("cell"), "b", width, "cluster"), cells)).groupBy("a").agg(F.min("cluster").alias("border"))

@@ -24,8 +24,8 @@ def train_test(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42)
 HASH_BITS, KEY_BLOCKS = 10, 64
 
 
-def _ranked(df: DataFrame, strata: list[str], key: str, seed: int | None) -> DataFrame:
-    """Position ``_at`` (from 0) and size ``_of`` in the stratum, by hash and key, or by the key itself without a seed.
+def positions(df: DataFrame, strata: list[str], key: str, seed: int | None) -> DataFrame:
+    """``df`` with position ``_at`` (from 0) and size ``_of`` in the stratum, by hash and key, or by the key itself without a seed.
 
     Rows are ranked inside a block of the order, whose offset is the running count of the blocks before it, so that no
     task holds a whole stratum. Keys that are neither numbers nor hashed are ranked in one window a stratum.
@@ -57,14 +57,14 @@ def _ranked(df: DataFrame, strata: list[str], key: str, seed: int | None) -> Dat
 
 def stratified(df: DataFrame, label: str, key: str, test_size: float = 0.2, seed: int | None = 42) -> DataFrame:
     """``df`` with boolean ``is_test``: the first share of each class by hash (by key itself for ``seed=None``)."""
-    return _ranked(df, [label], key, seed).withColumn("is_test", F.col("_at") < F.floor(F.col("_of") * test_size)).drop("_at", "_of")
+    return positions(df, [label], key, seed).withColumn("is_test", F.col("_at") < F.floor(F.col("_of") * test_size)).drop("_at", "_of")
 
 
 def folds(df: DataFrame, k: int, key: str, label: str | None = None, seed: int | None = 42) -> DataFrame:
     """``df`` with ``fold``: position modulo k, inside each class if ``label`` is given; without one, by hash alone."""
     if label is None and seed is not None:
         return df.withColumn("fold", F.pmod(_order(key, seed), F.lit(k)).cast("int"))
-    return _ranked(df, [label] if label else [], key, seed).withColumn("fold", (F.col("_at") % k).cast("int")).drop("_at", "_of")
+    return positions(df, [label] if label else [], key, seed).withColumn("fold", (F.col("_at") % k).cast("int")).drop("_at", "_of")
 
 
 def rest(df: DataFrame, part: DataFrame, key: str) -> DataFrame:

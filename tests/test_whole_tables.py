@@ -85,6 +85,7 @@ def test_kernels_of_all_pairs(spark, monkeypatch, broadcast):
     import numpy as np
 
     monkeypatch.setattr(neighbours, "BROADCAST_QUERIES", broadcast)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 120)
     e = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
     ids, v = [x[0] for x in e], np.array([x[1] for x in e], dtype=float)
     dots = v @ v.T
@@ -96,3 +97,17 @@ def test_kernels_of_all_pairs(spark, monkeypatch, broadcast):
     for x in got:
         i, j = place[x["a"]], place[x["b"]]
         assert x["a"] < x["b"] and (x["rbf"], x["poly"], x["sigmoid"]) == pytest.approx((rbf[i, j], (0.5 * dots[i, j] + 1) ** 3, np.tanh(0.5 * dots[i, j])), abs=2e-6)
+
+
+@pytest.mark.parametrize(("name", "value"), [("BROADCAST_QUERIES", 5), ("BROADCAST_BYTES", 100)])
+def test_neighbours_in_blocks(spark, monkeypatch, name, value):
+    r = random.Random(11)
+    rows = [(i, [float(r.randrange(9)), float(r.randrange(9))], i % 3) for i in range(90)] + [(7, [float(i), 0.0], 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    near = lambda: sorted(tuple(x) for x in neighbours.nearest(df, df.where("id % 20 = 0"), 4, "id", "v", "manhattan", "label", exclude_self=True).collect())
+    whole = near()
+    monkeypatch.setattr(neighbours, name, value)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 2)
+    assert len(whole) == 5 * 4
+    key = lambda x: (x[0], x[2], x[1])
+    assert [key(x) for x in near()] == [key(x) for x in whole]
